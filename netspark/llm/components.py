@@ -69,6 +69,7 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, ma
         if i + 1 < len(layers):  # told of nothing but itself, but others were told of it too
             seed = seed.join(layers[i + 1].select("x"), "x", "left_anti")
         done = done.unionAll(seed.select("x", F.col("x").alias("group")))
+    done = ws.save(done, "seeds")
     for i in range(len(layers) - 1, -1, -1):
         child = layers[i].where("not chosen").select(F.col("x").alias("vertex"), F.col("to").alias("parent"))
         hot = hot_keys(child.groupBy("parent").count(), "parent", "count", layers[i].count())
