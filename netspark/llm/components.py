@@ -7,12 +7,18 @@ minima it was told to the least of them; a vertex that nobody chose as minimum
 leaves the graph and becomes a child of that least one in the propagation forest;
 a vertex that is left without edges is the seed of its component. When no edges
 are left, the seeds' identifiers flow down the forest, last pruned layer first.
+
+The order of the vertices in which minima are taken is a hashed one. In the order
+of the identifiers themselves a long sorted chain would lose no vertex for many
+rounds while its links double in each; in a hashed order a constant share of any
+chain drops out per round. The least identifier of a component is found at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netspark.operators.lookup import hot_keys, lookup_join
 from netspark.workspace import Workspace
@@ -24,6 +30,25 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(pair).alias("e")).select("e.u", "e.v")
 
 
+def _labels(kind: T.DataType):
+    """Label of an identifier in the hashed order, and the identifier of a label.
+
+    A 32-bit identifier becomes a long with hashed upper and its own lower half,
+    any other type a struct of hash and identifier: no two ever share a label.
+    """
+    if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
+        low = F.lit(0xFFFFFFFF)
+
+        def name(c: Column) -> Column:
+            return F.shiftleft(F.hash(c).cast("long"), 32).bitwiseOR(c.cast("long").bitwiseAND(low))
+
+        def back(c: Column) -> Column:
+            return F.shiftright(F.shiftleft(c, 32), 32).cast(kind)
+
+        return name, back
+    return (lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("i"))), (lambda c: c["i"])
+
+
 def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 64) -> DataFrame:
     """(``vertex``, ``group``) for every vertex in a row with both ends; group is the least vertex.
 
@@ -39,7 +64,9 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, ma
     deleted; the driver sees row counts and the bounded list of hot vertices only.
     """
     ws = Workspace(edges.sparkSession, "groups")
-    graph = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    name, back = _labels(edges.schema[src].dataType)
+    other = F.col(dst).cast(edges.schema[src].dataType)
+    graph = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(name(F.col(src)).alias("a"), name(other).alias("b"))
     size = graph.count()
     layers: list[DataFrame] = []
     rounds = 0
@@ -75,4 +102,6 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, ma
         hot = hot_keys(child.groupBy("parent").count(), "parent", "count", layers[i].count())
         named = lookup_join(child, done.select(F.col("vertex").alias("parent"), "group"), "parent", hot)
         done = done.unionAll(ws.save(named.select("vertex", "group"), f"named{i:02d}"))
-    return done
+    first = ws.save(done.groupBy("group").agg(F.min(back(F.col("vertex"))).alias("least"), F.count(F.lit(1)).alias("n")), "first")
+    hot = hot_keys(first, "group", "n", layers[0].count())
+    return lookup_join(done, first.select("group", "least"), "group", hot).select(back(F.col("vertex")).alias("vertex"), F.col("least").alias("group"))
