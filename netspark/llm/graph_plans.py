@@ -54,7 +54,7 @@ _P2 = f"""WITH l AS {_LAST.format(t="louvain_communities")}, s AS {_LAST.format(
 _LIST = "[" + ", ".join(f"{d}::DOUBLE" for d in DIMS) + "]"
 _FULL = " AND ".join(f"{d} IS NOT NULL AND NOT isnan({d})" for d in DIMS)
 _P3 = f"""WITH s AS {_LAST.format(t="gpu_gnn_embeddings")}, v AS MATERIALIZED (SELECT gene, {_LIST} AS v FROM s WHERE {_FULL}),
- u AS MATERIALIZED (SELECT gene, v, sqrt(list_dot_product(v, v)) AS len FROM v WHERE list_dot_product(v, v) > 0),
+ u AS MATERIALIZED (SELECT gene, v, sqrt(list_dot_product(v, v)) AS len FROM v WHERE list_dot_product(v, v) > 0 AND NOT isnan(list_dot_product(v, v))),
  p AS (SELECT a.gene AS gene_id, b.gene AS neighbour, round(list_dot_product(a.v, b.v) / (a.len * b.len), 6) AS cosine FROM u a JOIN u b ON a.gene <> b.gene),
  r AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY cosine DESC, neighbour) AS rank FROM p)
 """
