@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netspark.llm.mixing import mix_sources
 from netspark.llm.packing import fill_report, pack
+from netspark.llm.subjects import subject_areas
 from netspark.llm.tokens import token_counts
 from netspark.sources.tables import table
 from netspark.workspace import Workspace
@@ -37,5 +38,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject; those without one are in the row of NULL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(p8_found(spark, sf_dir), "doc_id", "left").groupBy("subject").agg(F.count_distinct("doc_id").alias("docs"))
+
+
+QUERIES = {"p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
