@@ -21,12 +21,12 @@ def modularity(g: Graph, parts: DataFrame) -> DataFrame:
     return one.select("communities", F.coalesce(F.col("inside") / F.nullif("m2", F.lit(0.0)) - F.col("kk") / F.nullif(F.col("m2") * F.col("m2"), F.lit(0.0)), F.lit(0.0)).alias("modularity"))
 
 
-def louvain(g: Graph, *, levels: int = 5, passes: int = 6, seed: int = 0) -> DataFrame:
+def louvain(g: Graph, *, levels: int = 5, passes: int = 8, seed: int = 0) -> DataFrame:
     """(idx, community) by parallel local moving and aggregation, after Blondel et al.
 
     In a pass a hashed half of the vertices may move, each to the neighbouring
     community of greatest modularity gain (ties to the smaller community), so two
-    vertices seldom swap places. A level ends when nothing moves; communities then
+    vertices seldom swap places. A level ends when neither half moves; communities then
     become the vertices of the next level, with their inner weight as loops. All
     of it are aggregates and joins on edges and on one-row-a-vertex tables.
     """
@@ -42,7 +42,7 @@ def louvain(g: Graph, *, levels: int = 5, passes: int = 6, seed: int = 0) -> Dat
         state, _ = loop.save(k.select("idx", "k", F.col("idx").alias("c")))
         inner = e.where("src <> dst")
         hot = g.hot if level == 1 else []
-        moved_any = False
+        moved_any, quiet = False, 0
         for p in range(passes):
             tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
             link = lookup_join(inner.select(F.col("dst").alias("v"), F.col("src").alias("idx"), "weight"), state.select("idx", "c"), "idx", hot)
@@ -61,7 +61,8 @@ def louvain(g: Graph, *, levels: int = 5, passes: int = 6, seed: int = 0) -> Dat
             state, seen = loop.save(nxt, moved=F.count_if("go"))
             state = state.drop("go")
             moved_any |= seen["moved"] > 0
-            if seen["moved"] == 0 and p:
+            quiet = 0 if seen["moved"] else quiet + 1
+            if quiet == 2:  # neither half moved
                 break
         if not moved_any:
             break
