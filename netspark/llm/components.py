@@ -34,7 +34,8 @@ def _labels(kind: T.DataType):
     """Label of an identifier in the hashed order, and the identifier of a label.
 
     A 32-bit identifier becomes a long with hashed upper and its own lower half,
-    any other type a struct of hash and identifier: no two ever share a label.
+    any other type its text behind 16 hexadecimal digits of its hash: no two ever
+    share a label.
     """
     if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
         low = F.lit(0xFFFFFFFF)
@@ -46,7 +47,7 @@ def _labels(kind: T.DataType):
             return F.shiftright(F.shiftleft(c, 32), 32).cast(kind)
 
         return name, back
-    return (lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("i"))), (lambda c: c["i"])
+    return (lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), c.cast("string"))), (lambda c: F.substring(c, 17, 1 << 30).cast(kind))
 
 
 def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 64) -> DataFrame:
@@ -55,7 +56,7 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, ma
     Rows with a NULL end tie nothing and name no vertex. Rows ``x, x`` make x a
     vertex of its own. Repeated rows and both directions of a pair count once. An
     empty table gives an empty result; other columns are not read. Vertices may
-    be of any type with an order.
+    be of any ordered type that casts to a string and back.
 
     Every step is a map-side combined aggregate or a join with a one-row-a-vertex
     table in which hot vertices are broadcast (at most 1 / HOT_SHARE of them), so
