@@ -55,17 +55,13 @@ def body_sentences(text: str) -> list[str]:
         line = line.strip()
         if not line or line[-1] not in ENDS:
             continue
-        part = ""
+        last = ""
         for s in _SPLIT.split(line):
-            s = f"{part} {s}" if part else s
-            if _SHORT.search(s):
-                part = s
-                continue
-            part = ""
-            if s:
+            if last and s[:1].isdigit() and _SHORT.search(last):
+                out[-1] = last = f"{last} {s}"
+            elif s:
                 out.append(s)
-        if part:
-            out.append(part)
+                last = s
     return out
 
 

@@ -29,6 +29,7 @@ DIMS = 256
 MAX_TERMS = 16_384  # most frequent eligible terms; bounds what is sent to tasks
 MAX_LABELS = 100_000  # rows of labels that are read; they are a sample by nature
 MAX_SUBJECTS = 1_000
+SAMPLE = 16_384  # vectors on which splits are started
 
 
 def parse(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -121,17 +122,52 @@ def _sums(vectors: DataFrame, tree: Tree, extra: list) -> dict[int, tuple[int, n
     return {r.leaf: (r.n, np.frombuffer(r.s, "f8")) for r in rows if r.leaf >= 0}
 
 
-def bisect(vectors: DataFrame, leaves: int, rounds: int = 4) -> tuple[Tree, dict[int, int]]:
-    """Bisecting k-means up to ``leaves`` leaves, and the number of documents of each."""
+def _halves(x: np.ndarray, rng: np.random.Generator, starts: int = 6, rounds: int = 12) -> np.ndarray | None:
+    """Direction between the two centres of the best of several 2-means on the rows of ``x``."""
+    best = (0.0, None)
+    for _ in range(starts if len(x) > 1 else 0):
+        i, j = rng.choice(len(x), 2, replace=False)
+        d = x[i] - x[j]
+        a = b = None
+        for _ in range(rounds):
+            side = x @ d > 0
+            a, b = x[side].sum(0), x[~side].sum(0)
+            na, nb = np.linalg.norm(a), np.linalg.norm(b)
+            if not (na > 0 and nb > 0):
+                break
+            new = a / na - b / nb
+            if np.allclose(new, d):
+                break
+            d = new
+        tight = sum(float(v @ v) / max(1, k) for v, k in ((a, int(side.sum())), (b, int((~side).sum()))))
+        if tight > best[0]:
+            best = (tight, d)
+    return best[1]
+
+
+def bisect(vectors: DataFrame, leaves: int, rounds: int = 2) -> tuple[Tree, dict[int, int]]:
+    """Bisecting k-means up to ``leaves`` leaves, and the number of documents of each.
+
+    A split starts from the best of several 2-means on a bounded sample of the
+    leaf's vectors (``SAMPLE`` of all, by hash) and is then fitted to all of them.
+    """
     tree = Tree()
+    share = min(1.0, SAMPLE / max(1, vectors.count()))
+    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * SAMPLE).toPandas()
+    sample = _matrix(some["v"]) if len(some) else np.zeros((0, DIMS), "f4")
+    sample = sample[np.lexsort(sample[:, :8].T)]  # an order of the values, not of the tasks
     at = _sums(vectors, tree, [])
     while 0 < len(at) < leaves:
         error = sorted(((n - float(s @ s) / n, leaf) for leaf, (n, s) in at.items() if n > 1), reverse=True)
         error = [x for x in error if x[0] > 1e-3][: min(len(error) * 2 // 3 + 1, leaves - len(tree.splits) - 1)]
         if not error:
             break
-        extra = []
+        extra, held = [], tree.leaves(sample)
         for _, leaf in error:
+            d = _halves(sample[held == leaf], np.random.default_rng(leaf))
+            if d is not None:
+                extra.append((leaf, d))
+                continue
             s = at[leaf][1] / at[leaf][0]
             r = np.random.default_rng(leaf).standard_normal(DIMS) * 0.05 * np.linalg.norm(s)
             a, b = s + r, s - r
