@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 
 ENDS = ".!?…`;”»“"
-_DROP = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF])
+_DROP = re.compile("[\u00ad\u200b-\u200d\ufeff]+")
 _SPLIT = re.compile(r"(?<=[.!?…`])[”»“\"’)]?\s+")
 _SHORT = re.compile(r"(?:^|[\s(])[^\W\d_]{1,3}\.$")  # an abbreviation, if a number follows
 _TERM = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*|\d[\d.,:/–-]*|[^\w\s]")
@@ -38,9 +38,11 @@ def repaired(text: str) -> str:
 
 def plain(text: str) -> str:
     """Lower case, without accents, soft hyphens and invisible characters."""
-    text = text.translate(_DROP)
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = _DROP.sub("", text)
+        if not unicodedata.is_normalized("NFKD", text):
+            text = unicodedata.normalize("NFKD", text)
+        text = _MARKS.sub("", text)
     return text.lower()
 
 
@@ -86,10 +88,12 @@ def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """
     codes: list[int] = []
     ends: list[int] = []
+    known = _CODES
     for s in body_sentences(text):
         s = _DIGITS.sub("0", s)
-        codes.extend([_code(t) for t in dict.fromkeys(_TERM.findall(s))])
+        terms = list(dict.fromkeys(_TERM.findall(s)))
         if len(s) < 90:
-            codes.append(_code("=" + "".join(s.split())))
+            terms.append("=" + "".join(s.split()))
+        codes += [known.get(t) or _code(t) for t in terms]
         ends.append(len(codes))
     return np.array(codes, np.int32), np.array(ends, np.int32)
