@@ -14,7 +14,8 @@ from netspark.workspace import Workspace
 def modularity(g: Graph, parts: DataFrame) -> DataFrame:
     """(communities, modularity) of (idx, community) on a symmetric graph."""
     c = parts.select("idx", "community")
-    e = g.edges.join(c.select(F.col("idx").alias("src"), F.col("community").alias("cs")), "src").join(c.select(F.col("idx").alias("dst"), F.col("community").alias("cd")), "dst")
+    e = lookup_join(g.edges, c.select(F.col("idx").alias("src"), F.col("community").alias("cs")), "src", g.hot)
+    e = lookup_join(e, c.select(F.col("idx").alias("dst"), F.col("community").alias("cd")), "dst", g.hot)  # symmetric: the same vertices are hot
     per = e.groupBy(F.col("cs").alias("community")).agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("weight")).otherwise(0.0)).alias("inside"))
     all_ = c.select("community").distinct().join(per, "community", "left")
     one = all_.agg(F.count(F.lit(1)).alias("communities"), F.sum("k").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("kk"))
@@ -69,7 +70,7 @@ def louvain(g: Graph, *, levels: int = 5, passes: int = 8, seed: int = 0) -> Dat
         final = ws.save(final.join(state.select(F.col("idx").alias("community"), "c"), "community", "left").select("idx", F.coalesce("c", "community").alias("community")), f"final{level}")
         name = state.select("idx", "c")
         e = lookup_join(e.withColumnRenamed("src", "idx"), name, "idx", hot).select(F.col("c").alias("src"), "dst", "weight")
-        e = e.join(name.select(F.col("idx").alias("dst"), "c"), "dst").groupBy("src", F.col("c").alias("dst")).agg(F.sum("weight").alias("weight"))
+        e = lookup_join(e, name.select(F.col("idx").alias("dst"), "c"), "dst", hot).groupBy("src", F.col("c").alias("dst")).agg(F.sum("weight").alias("weight"))
         e = ws.save(e, f"edges{level}")
     return final
 

@@ -20,7 +20,7 @@ def conditional_entropy(long: DataFrame, regulators: DataFrame, n_bins: int = 10
     their share is not spread over the others. One join on the sample; bin ranges
     and counts are plain aggregates, so nothing is gathered per pair.
     """
-    reg = long.join(F.broadcast(regulators.select("gene")), "gene", "left_semi").select(F.col("gene").alias("regulator"), "sample", F.col("value").alias("x"))
+    reg = long.join(regulators.select("gene"), "gene", "left_semi").select(F.col("gene").alias("regulator"), "sample", F.col("value").alias("x"))
     span = reg.groupBy("regulator").agg(F.min("x").alias("lo"), (F.max("x") + 1e-8).alias("hi"), F.count(F.lit(1)).alias("n"))
     xb = reg.join(span, "regulator").select("regulator", "sample", "n", _bin(F.col("x"), F.col("lo"), F.col("hi"), n_bins).alias("xb"))
     pair = xb.join(long.select(F.col("gene").alias("target"), "sample", F.col("value").alias("y")), "sample").where("regulator <> target")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark.operators.graph import Graph
+from netspark.operators.lookup import lookup_join
 from netspark.workspace import Workspace
 
 
@@ -18,12 +19,13 @@ def normalised_adjacency(g: Graph) -> DataFrame:
     d = a.groupBy("src").agg(F.sum("weight").alias("d"))
     root = F.when(F.col("d") > 0, 1 / F.sqrt("d")).otherwise(0.0).alias("r")
     rs, rd = d.select("src", root), d.select(F.col("src").alias("dst"), root)
-    return a.join(rs.withColumnRenamed("r", "a"), "src").join(rd.withColumnRenamed("r", "b"), "dst").select("src", "dst", (F.col("weight") * F.col("a") * F.col("b")).alias("weight"))
+    a = lookup_join(a, rs.withColumnRenamed("r", "a"), "src", g.hot)
+    return lookup_join(a, rd.withColumnRenamed("r", "b"), "dst", g.hot).select("src", "dst", (F.col("weight") * F.col("a") * F.col("b")).alias("weight"))
 
 
-def _spmm(adj: DataFrame, h: DataFrame, dims: int) -> DataFrame:
+def _spmm(adj: DataFrame, h: DataFrame, dims: int, hot: list) -> DataFrame:
     """adj @ H for H = (idx, h array): one join and one aggregate of ``dims`` sums."""
-    e = adj.join(h.withColumnRenamed("idx", "src"), "src")
+    e = lookup_join(adj, h.withColumnRenamed("idx", "src"), "src", hot)
     sums = e.groupBy(F.col("dst").alias("idx")).agg(*[F.sum(F.col("weight") * F.col("h")[i]).alias(f"h{i}") for i in range(dims)])
     return sums.select("idx", F.array(*[f"h{i}" for i in range(dims)]).alias("h"))
 
@@ -59,8 +61,8 @@ def gcn(g: Graph, features: DataFrame | None = None, hidden: int = 64, out: int
         width = len(features.first().h)
     w1 = rng.standard_normal((width, hidden)) * np.sqrt(2.0 / (width + hidden))
     w2 = rng.standard_normal((hidden, out)) * np.sqrt(2.0 / (hidden + out))
-    h = ws.save(_dense(_spmm(adj, features, width), w1, True), "h1")
+    h = ws.save(_dense(_spmm(adj, features, width, g.hot), w1, True), "h1")
     # A (H W2) = (A H) W2, and H W2 is the narrower table to shuffle
-    h = _spmm(adj, _dense(h, w2, False), out)
+    h = _spmm(adj, _dense(h, w2, False), out, g.hot)
     size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x))
     return h.withColumn("len", size).select("idx", F.transform("h", lambda x: x / F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))).alias("emb"))
