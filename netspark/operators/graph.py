@@ -13,10 +13,11 @@ from netspark.operators.lookup import hot_keys
 
 @dataclass
 class Graph:
-    """Directed rows; an undirected graph holds both directions. ``n`` vertices."""
+    """Directed rows; an undirected graph holds both directions and is ``symmetric``."""
 
     vertices: DataFrame
     edges: DataFrame
+    symmetric: bool = False
     _n: int | None = None
     _hot: list | None = field(default=None, repr=False)
 

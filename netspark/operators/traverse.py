@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from netspark.operators.graph import Graph
 from netspark.workspace import Workspace
 
-
 def random_sources(n: int, k: int = 10, seed: int = 42) -> list[int]:
     """``k`` distinct vertices of 0..n-1, the same for a seed."""
     return [int(x) for x in np.random.default_rng(seed).choice(n, min(k, n), replace=False)]
@@ -19,7 +18,8 @@ def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int
     """(source, idx, dist) for every source and vertex; -1 is unreachable. Weights do not matter.
 
     One frontier for all sources: a level is one join with the edges, in which hot
-    vertices are broadcast, and one anti-join with all earlier levels. ``direction`` 'in' follows
+    vertices are broadcast, and one anti-join with the levels before: the last two
+    suffice in a symmetric graph. ``direction`` 'in' follows
     edges backwards. Sources that are no vertices reach nothing and have no row of
     distance 0. Levels end when the frontier is empty.
     """
@@ -28,20 +28,30 @@ def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
     kind = g.vertices.schema["idx"].dataType
     step = g.edges.select(F.col(a).alias("idx"), F.col(b).alias("to"))
-    hot = g.hot if direction == "out" else []
-    start = spark.createDataFrame([(int(s),) for s in dict.fromkeys(sources)], "source long").select(F.col("source").cast(kind).alias("source"), F.col("source").cast(kind).alias("idx"))
-    front = ws.save(start.join(g.vertices, "idx", "left_semi").select("source", "idx", F.lit(0).alias("dist")), "level0000")
-    seen, level = front, 0
-    while front.count() and (max_levels is None or level < max_levels):
-        level += 1
+    hot = g.hot if direction == "out" or g.symmetric else []
+    key = ["source", "idx"]
+
+    def onward(front: DataFrame, known: DataFrame) -> DataFrame:
         if hot:
             is_hot = F.col("idx").isin(hot)
             near = front.where(~is_hot).join(step.where(~is_hot), "idx").unionAll(F.broadcast(front.where(is_hot)).join(step.where(is_hot), "idx"))
         else:
             near = front.join(step, "idx")
-        near = near.select("source", F.col("to").alias("idx")).distinct().join(seen.select("source", "idx"), ["source", "idx"], "left_anti")
-        front = ws.save(near.select("source", "idx", F.lit(level).alias("dist")), f"level{level:04d}")
-        seen = spark.read.schema(front.schema).parquet(f"{ws.path}/level*")
+        return near.select("source", F.col("to").alias("idx")).distinct().join(known, key, "left_anti")
+
+    start = spark.createDataFrame([(int(s),) for s in dict.fromkeys(sources)], "source long").select(F.col("source").cast(kind).alias("source"), F.col("source").cast(kind).alias("idx"))
+    saved = [ws.save(start.join(g.vertices, "idx", "left_semi").select("source", "idx", F.lit(0).alias("dist")), "part0000")]
+    level, size = 0, saved[0].count()
+    while size and (max_levels is None or level < max_levels):
+        level += 1
+        front, known = saved[-1].select(*key), saved[-1].select(*key)
+        for x in saved[-2:-1] if g.symmetric else saved[:-1]:
+            known = known.unionAll(x.select(*key))
+        o = Observation()
+        found = onward(front, known).select(*key, F.lit(level).alias("dist")).observe(o, F.count(F.lit(1)).alias("n"))
+        saved.append(ws.save(found, f"part{level:04d}"))
+        size = o.get["n"]
+    seen = spark.read.schema(saved[0].schema).parquet(f"{ws.path}/part*")
     listed = F.array(*[F.lit(int(s)).cast(kind) for s in dict.fromkeys(sources)])
     grid = g.vertices.select("idx", F.explode(listed).alias("source"))  # the result's own size
     return grid.join(seen, ["source", "idx"], "left").select("source", "idx", F.coalesce("dist", F.lit(-1)).alias("dist"))

@@ -48,7 +48,7 @@ def gene_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     ws = Workspace(spark, "graph")
     e = ws.save(graph.symmetrise(graph.clean_edges(table(spark, sf_dir, "edge_list"))), "edges")
     v = ws.save(graph.vertices_of(e, table(spark, sf_dir, "genes_filtered").select(F.col("gene_idx").alias("idx"))), "vertices")
-    return graph.Graph(v, e)
+    return graph.Graph(v, e, symmetric=True)
 
 
 def forward_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:

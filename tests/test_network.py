@@ -12,7 +12,7 @@ from netspark.sources import counts, sinks
 
 def make(spark, edges, n, both=True):
     e = spark.createDataFrame([(a, b, float(w)) for a, b, w in edges], "src int, dst int, weight double")
-    return graph.Graph(spark.range(n).select(F.col("id").cast("int").alias("idx")), graph.symmetrise(e) if both else e)
+    return graph.Graph(spark.range(n).select(F.col("id").cast("int").alias("idx")), graph.symmetrise(e) if both else e, symmetric=both)
 
 
 def values(df, key, *cols):
@@ -62,6 +62,9 @@ def test_bfs_isolated_and_direction(spark):
     d = make(spark, [(0, 1, 1), (1, 2, 1)], 3, both=False)
     assert values(traverse.bfs(d, [2]), "idx", "dist") == {0: -1, 1: -1, 2: 0}
     assert values(traverse.bfs(d, [2], direction="in"), "idx", "dist") == {0: 2, 1: 1, 2: 0}
+    path = make(spark, [(i, i + 1, 1) for i in range(13)] + [(0, 5, 1)], 14)
+    assert values(traverse.bfs(path, [0]), "idx", "dist") == {i: min(i, abs(i - 5) + 1) for i in range(14)}
+    assert values(traverse.bfs(path, [0], max_levels=2), "idx", "dist")[3] == -1
     assert values(traverse.bfs(g, [99]), "idx", "dist") == dict.fromkeys(range(4), -1)
 
 
