@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.functions.clean import nan_to_null, tidy_key
+from netspark.functions.clean import tidy_key
 from netspark.operators.diff import diff_tables
 from netspark.operators.standing import standing_rows
 from netspark.operators.tree_agg import heavy_keys, partner_stats
@@ -50,7 +50,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_diff(spark, sf_dir).select("comparison", "gene_id", "field", "issue")
 
 
-QUERIES = {"p4_found": p4_found, "p4_key_stats": p4_key_stats, "p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p4_key_stats": p4_key_stats, "p5_found": p5_found, "p5_diff": p5_diff}
 
 _STAND = """
  SELECT * FROM (

@@ -8,12 +8,15 @@ plain scans, so every later stage starts from files and not from shuffles.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[Workspace]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="netspark-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
@@ -35,6 +39,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str = "job"):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -51,3 +56,9 @@ class Workspace:
         for target in [self.at(n) for n in names] or [self.path]:
             p = jvm.org.apache.hadoop.fs.Path(target)
             p.getFileSystem(conf).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables this application wrote: call it when its results are stored or read."""
+    for ws in _MADE.pop(spark.sparkContext.applicationId, []):
+        ws.drop()

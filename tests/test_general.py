@@ -108,3 +108,15 @@ def test_diff_across_batches_and_partitions(spark):
         elif le and i % 17 == 0:
             want.add((str(i), "differs"))
     assert got == want
+
+
+def test_workspace_cleans_up(spark):
+    import os
+
+    from netspark.workspace import Workspace, clean
+
+    ws = Workspace(spark, "gone")
+    ws.save(spark.range(3), "a")
+    assert os.path.isdir(ws.path)
+    clean(spark)
+    assert not os.path.exists(ws.path)
