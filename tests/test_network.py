@@ -216,3 +216,39 @@ def test_best_of_restarts(spark):
     g = two_triangles(spark)
     best = community.best_louvain(g, restarts=2, levels=1, passes=10)
     assert community.modularity(g, best).first().modularity == pytest.approx(0.5)
+
+
+def test_random_graph_against_numpy(spark):
+    n, rng = 100, np.random.default_rng(42)
+    a = np.zeros((n, n))
+    for i, j, w in zip(rng.integers(0, n, 300), rng.integers(0, n, 300), rng.uniform(0.5, 1.0, 300)):
+        a[i, j] += w
+    a = a + a.T
+    np.fill_diagonal(a, 0)
+    i, j = np.nonzero(np.triu(a))
+    g = make(spark, [(int(x), int(y), a[x, y]) for x, y in zip(i, j)], n)
+    dist = np.full(n, -1)
+    dist[0], front, level = 0, {0}, 0
+    while front:
+        level += 1
+        front = {int(k) for f in front for k in np.flatnonzero(a[f]) if dist[k] < 0}
+        dist[list(front)] = level
+    assert values(traverse.bfs(g, [0]), "idx", "dist") == dict(enumerate(dist))
+    out = a.sum(1)
+    p = a / np.where(out == 0, 1, out)[:, None]
+    x = np.full(n, 1 / n)
+    for _ in range(6):
+        x = 0.85 * (p.T @ x) + 0.15 / n + 0.85 * x[out == 0].sum() / n
+    got = values(rank.pagerank(g, tol=None, max_iter=6), "idx", "x")
+    assert [got[k] for k in range(n)] == pytest.approx(list(x))
+    h = np.ones(n)
+    for _ in range(3):
+        u = a.T @ h
+        u /= np.linalg.norm(u)
+        h = a @ u
+        h /= np.linalg.norm(h)
+    got = values(rank.hits(g, tol=None, max_iter=3), "idx", "hub", "authority")
+    assert np.array([got[k] for k in range(n)]) == pytest.approx(np.c_[h, u])
+    t = np.diag(a @ a @ a) / 2
+    got = values(motif.motifs(g), "idx", "triangles")
+    assert [got[k] for k in range(n)] == [int(v + 1e-12) for v in t]
