@@ -132,6 +132,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, ident: str = "doc_id", sou
     copies = F.col("least") + F.when(F.col("more") & (F.col("key") <= _case(src, cut)), 1).otherwise(0)
     mix = base.withColumn("copies", copies.cast("int")).where("copies > 0").select(F.col("id").alias(ident), "source", F.col("n").alias("n_tokens"), "copies")
     mix = ws.save(mix, "mix")
+    ws.drop("hist", "rates")
     got = {r.source: (int(r.t), int(r.d)) for r in mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.sum("copies").alias("d")).collect()}
     full = sum(t for t, _ in got.values()) or 1
     report = [(s, w, m, have.get(s, 0), int(round(goal[s])), *got.get(s, (0, 0)), round(got.get(s, (0, 0))[0] / full, 6), bool(cap[s] >= w * total and (cap[s] > 0 or w == 0))) for s, (w, m) in sorted(want.items())]

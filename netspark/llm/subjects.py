@@ -259,6 +259,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, ident
     schema = "term int, " + ", ".join(f"m{j} double" for j in range(k))
     joined = parsed.select("id", "codes").join(vectors, "id")
     told = joined.mapInPandas(term_mixtures, schema).groupBy("term").agg(*[F.sum(f"m{j}").alias(f"m{j}") for j in range(k)]).toPandas()
+    ws.drop("vectors")
     total = np.zeros((len(terms), k))
     total[told["term"].to_numpy()] = told[[f"m{j}" for j in range(k)]].to_numpy()
     with np.errstate(divide="ignore", invalid="ignore"):

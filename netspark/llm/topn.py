@@ -87,6 +87,7 @@ def top_n_per_group(items: DataFrame, group: str, ident: str, score: str, n: int
         part = lookup_join(coded.select("g", "id", "s", "bits", "j", "b"), cut, "g", hot).where("b >= cut")
         part = part.select("g", "id", "s", "bits", ((F.col("b") > F.col("cut")) | F.col("whole")).alias("in"), F.when(F.col("w0") == F.col("w1"), F.col("j") + 1).otherwise(F.col("j")).alias("j"), F.when(F.col("w0") == F.col("w1"), F.col("v0")).otherwise(F.col("w0")).alias("lo"), F.when(F.col("w0") == F.col("w1"), F.col("v1")).otherwise(F.col("w1")).alias("hi"), F.col("left").alias("need"))
         part = ws.save(part, f"pass{p:02d}")
+        ws.drop(f"cut{p:02d}")
         taken.append(part.where(F.col("in")).select("g", "id", "s"))
         rows = part.where(~F.col("in")).drop("in")
         size = rows.count()
