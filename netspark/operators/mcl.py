@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.operators.graph import Graph, top_subgraph
+from netspark.operators.graph import Graph
 from netspark.operators.iterate import Loop
 from netspark.operators.linalg import normalise, spgemm
 from netspark.workspace import Workspace
@@ -27,11 +27,9 @@ def mcl_step(m: DataFrame, expansion: int = 2, inflation: float = 2.0, prune: fl
     return normalise(x.where(F.col("val") >= prune), "col")
 
 
-def mcl(g: Graph, expansion: int = 2, inflation: float = 2.0, prune: float = 1e-4, max_iter: int = 100, tol: float | None = 1e-5, *, max_nodes: int = 3000, keep: int = 2000) -> DataFrame:
-    """The limit matrix. Above ``max_nodes`` vertices the ``keep`` of greatest weighted
-    degree are clustered, which bounds the fill-in of the powers; their indexes stay."""
-    if g.n > max_nodes:
-        g, _ = top_subgraph(g, keep)
+def mcl(g: Graph, expansion: int = 2, inflation: float = 2.0, prune: float = 1e-4, max_iter: int = 100, tol: float | None = 1e-5) -> DataFrame:
+    """The limit matrix over all vertices. To bound the fill-in of the powers, pass a
+    ``top_subgraph``, and its vertices to ``mcl_clusters``."""
     loop = Loop(Workspace(g.edges.sparkSession, "mcl"), "m")
     m, _ = loop.save(mcl_start(g))
     for _ in range(max_iter):

@@ -155,6 +155,14 @@ def test_mcl_two_clusters(spark):
     assert c[0] == c[1] == c[2] != c[3] == c[4] == c[5]
 
 
+def test_mcl_clusters_every_vertex_of_a_larger_graph(spark):
+    n = 1001  # triangles, so 3,003 vertices
+    g = make(spark, [(3 * t + i, 3 * t + j, 1) for t in range(n) for i, j in ((0, 1), (1, 2), (0, 2))], 3 * n)
+    m = mcl.mcl(g, max_iter=2, tol=None)
+    assert m.select("col").distinct().count() == 3 * n
+    assert values(mcl.mcl_clusters(m, g.vertices), "idx", "community") == {v: v - v % 3 for v in range(3 * n)}
+
+
 def test_louvain_and_modularity(spark):
     g = make(spark, [(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1), (2, 3, 0.1)], 7)
     c = values(community.louvain(g, levels=2, passes=12), "idx", "community")
