@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,77 @@ def mce(long: DataFrame, regulators: DataFrame, n_bins: int = 10) -> DataFrame:
     genes = long.select("gene").distinct().count()
     h = conditional_entropy(long, regulators, n_bins).groupBy(F.col("regulator").alias("gene")).agg(F.sum("h").alias("s"))
     return h.select("gene", (F.col("s") / (genes - 1)).alias("mce_score"))
+
+
+def _entropies(x: np.ndarray, y: np.ndarray, n_bins: int) -> np.ndarray:
+    """H(target | x) of every row of ``y``; NaN is a missing sample, also as a result where none is common."""
+    own = np.flatnonzero(~np.isnan(x))
+    lo, hi = x[own].min(), x[own].max() + 1e-8
+    xb = np.zeros(len(own), "i8") if hi == lo else np.minimum(np.floor((x[own] - lo) / ((hi - lo) / n_bins or 1.0)), n_bins - 1).astype("i8")
+    h, seen, row = np.zeros(len(y)), np.zeros(len(y), bool), np.arange(len(y))[:, None] * (n_bins + 1)
+    for b in np.unique(xb):
+        v = y[:, own[xb == b]]
+        gone = np.isnan(v)
+        lo = np.where(gone, np.inf, v).min(1, keepdims=True)
+        hi = np.where(gone, -np.inf, v).max(1, keepdims=True)
+        flat = ~(hi > lo)
+        width = np.where(flat, 1.0, (hi - lo) / n_bins)
+        at = np.minimum(np.floor((v - np.where(flat, 0.0, lo)) / np.where(width == 0, 1.0, width)), n_bins - 1)
+        at = np.where(gone, n_bins, np.where(flat, 0, at)).astype("i8")
+        c = np.bincount((row + at).ravel(), minlength=len(y) * (n_bins + 1)).reshape(len(y), -1)[:, :n_bins]
+        nb = c.sum(1)
+        p = c / np.maximum(nb, 1)[:, None]
+        part = -(p * np.log2(np.where(c > 0, p, 1.0))).sum(1) * nb / len(own)
+        h += np.where(nb >= 2, part, 0.0)
+        seen |= nb > 0
+    return np.where(seen, h, np.nan)
+
+
+def _matrix(samples: pd.Series, values: pd.Series, names: np.ndarray) -> np.ndarray:
+    m = np.full((len(samples), len(names)), np.nan)
+    for i, (s, v) in enumerate(zip(samples, values)):
+        m[i, np.searchsorted(names, s)] = v
+    return m
+
+
+def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bins: int = 10, *, sums: bool = False, block: int = 256) -> DataFrame:
+    """The rows of ``conditional_entropy`` for many regulators, without a row per pair and sample.
+
+    Without ``regulators`` every gene is one. Genes are folded into vectors and these
+    into blocks by hash; each block of regulators meets each block of targets in a task
+    of its own. ``sums`` gives (gene, s), the sum over a regulator's targets, instead of
+    the pairs. A sample that a gene lacks, or has as NULL or NaN, counts for no pair of it.
+    """
+    kind = long.schema["gene"].dataType.simpleString()
+    vec = long.where("value is not null and not isnan(value)").groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("x"))
+    vec = vec.select("gene", F.transform("x", lambda e: e["sample"]).alias("s"), F.transform("x", lambda e: e["value"]).alias("v"))
+    blocks = max(1, -(-vec.count() // block))
+    vec = vec.withColumn("b", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    reg = vec if regulators is None else vec.join(regulators.select("gene"), "gene", "left_semi")
+    # every column under a name of its own on either side: a cogroup of two views of one table mixes up shared ones
+    reg = reg.select(F.col("gene").alias("regulator"), F.col("s").alias("rs"), F.col("v").alias("rv"), F.col("b").alias("i"), every.alias("j"))
+    target = vec.select(F.col("gene").alias("target"), F.col("s").alias("ts"), F.col("v").alias("tv"), every.alias("ti"), F.col("b").alias("tj"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            names = np.unique(np.concatenate([*a["rs"], *b["ts"]]))
+            x, y, genes = _matrix(a["rs"], a["rv"], names), _matrix(b["ts"], b["tv"], names), b["target"].to_numpy()
+            for gene, row in zip(a["regulator"], x):
+                h = _entropies(row, y, n_bins)
+                keep = ~np.isnan(h) & (genes != gene)
+                if sums and keep.any():
+                    out.append(pd.DataFrame({"gene": [gene], "s": [h[keep].sum()]}))
+                elif keep.any():
+                    out.append(pd.DataFrame({"regulator": gene, "target": genes[keep], "h": h[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"gene": a["regulator"].iloc[:0], "s": pd.Series(dtype="f8")} if sums else {"regulator": a["regulator"].iloc[:0], "target": b["target"].iloc[:0], "h": pd.Series(dtype="f8")})
+
+    h = reg.groupBy("i", "j").cogroup(target.groupBy("ti", "tj")).applyInPandas(run, f"gene {kind}, s double" if sums else f"regulator {kind}, target {kind}, h double")
+    return h.groupBy("gene").agg(F.sum("s").alias("s")) if sums else h
+
+
+def mce_all(long: DataFrame, n_bins: int = 10) -> DataFrame:
+    """(gene, mce_score) with every gene as a regulator."""
+    genes = long.select("gene").distinct().count()
+    return entropy_by_blocks(long, None, n_bins, sums=True).select("gene", (F.col("s") / (genes - 1)).alias("mce_score"))

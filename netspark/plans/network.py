@@ -236,6 +236,19 @@ def top_regulator(spark, d):
     return mce(spark, d).orderBy("mce_score", "gene").limit(1)
 
 
+def cond_entropy_pairs_all(spark, d):
+    """Every gene as a regulator, where ``cond_entropy_pairs`` has the first 50."""
+    return entropy.entropy_by_blocks(_entropy_input(spark, d)[0]).select("regulator", "target", _r("h"))
+
+
+def mce_all(spark, d):
+    return entropy.mce_all(_entropy_input(spark, d)[0]).select("gene", _r("mce_score"))
+
+
+def top_regulator_all(spark, d):
+    return mce_all(spark, d).orderBy("mce_score", "gene").limit(1)
+
+
 def motif_weighted(spark, d):
     return motif.motifs(emb_graph(spark, d), True).select("idx", "triangles", _r("clustering_coeff"), "degree")
 
@@ -317,6 +330,6 @@ def timing_totals(spark, d):
 _NAMES = """lib_sizes cpm cpm_filter log2_cpm zscore coexpr_edges coexpr_edges_emb coexpr_edges_blocks max_genes_prefix wide_to_long
 n_genes_prefix symmetric_edges graph_stats weighted_degree isolated_nodes gene_id_join topn_subgraph spmv spgemm col_stochastic
 row_stochastic vector_norms bfs_single bfs_multi bfs_pivot reachable pagerank_k pagerank_compat_k rwr_k rwr_ensemble_k hits_k
-cond_entropy_pairs mce top_regulator motif_weighted motif_unweighted motif_totals modularity louvain louvain_quality mcl_step
+cond_entropy_pairs mce top_regulator cond_entropy_pairs_all mce_all top_regulator_all motif_weighted motif_unweighted motif_totals modularity louvain louvain_quality mcl_step
 mcl_k mcl_clusters gcn_norm_adj gcn_propagate gcn_embed timing_speedup three_way timing_totals""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -73,6 +73,9 @@ _MCE = f"""WITH {_GRID}, {_REGS},
 """
 _MCES = _MCE + ", m AS (SELECT regulator AS gene, round(sum(h) / ((SELECT count(DISTINCT gene) FROM x) - 1), 6) + 0.0 AS mce_score FROM h GROUP BY 1)"
 
+#: every gene as a regulator
+_MCE_ALL, _MCES_ALL = (q.replace(_REGS, "reg AS (SELECT DISTINCT gene FROM x)") for q in (_MCE, _MCES))
+
 
 def _motif(graph: str, weighted: bool) -> str:
     w = "weight" if weighted else "1.0::DOUBLE"
@@ -132,6 +135,9 @@ SQL = {
     "cond_entropy_pairs": _MCE + "SELECT regulator, target, round(h, 6) + 0.0 AS h FROM h",
     "mce": _MCES + " SELECT gene, mce_score FROM m",
     "top_regulator": _MCES + " SELECT gene, mce_score FROM m ORDER BY mce_score, gene LIMIT 1",
+    "cond_entropy_pairs_all": _MCE_ALL + "SELECT regulator, target, round(h, 6) + 0.0 AS h FROM h",
+    "mce_all": _MCES_ALL + " SELECT gene, mce_score FROM m",
+    "top_regulator_all": _MCES_ALL + " SELECT gene, mce_score FROM m ORDER BY mce_score, gene LIMIT 1",
     "motif_weighted": _motif(_EMBG, True) + "SELECT idx, triangles, cc AS clustering_coeff, degree FROM m",
     "motif_unweighted": _motif(_G, False) + "SELECT idx, triangles, cc AS clustering_coeff, degree FROM m",
     "motif_totals": _motif(_G, False) + "SELECT (sum(triangles) // 3)::BIGINT AS total_triangles, round(avg(raw), 6) AS avg_clustering FROM m",

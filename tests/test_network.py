@@ -134,6 +134,29 @@ def test_entropy_against_numpy(spark):
     assert score == {1: pytest.approx(sum(got[1, b] for b in m if b != 1) / 4)}
 
 
+def test_entropy_by_blocks_is_the_join_with_missing_samples(spark):
+    rng = np.random.default_rng(1)
+    x = long(spark, {g: np.round(rng.random(30), 1) for g in range(12)} | {12: [2.0] * 30}).where("pmod(gene * 7 + sample, 11) > 0")
+    every = x.select("gene").distinct()
+    want = {(r.regulator, r.target): r.h for r in entropy.conditional_entropy(x, every).collect()}
+    got = {(r.regulator, r.target): r.h for r in entropy.entropy_by_blocks(x, block=5).collect()}
+    assert len(want) == 13 * 12 and got == pytest.approx(want, abs=1e-9)
+    assert values(entropy.mce_all(x), "gene", "mce_score") == pytest.approx(values(entropy.mce(x, every), "gene", "mce_score"))
+
+
+def test_top_regulator_beyond_the_first_fifty(spark, tmp_path):
+    from netspark.plans import network
+
+    rng = np.random.default_rng(2)
+    steps = lambda g, m: 2.0 ** ((m * 7 + g) % 24 / 2)  # noqa: E731  evenly spread over the bins, while the first 50 are flat but for a month
+    rows = [(g, m, float(steps(g, m) if g >= 50 else 1e4 if m == 0 else 90 + rng.integers(9))) for g in range(60) for m in range(24)]
+    li = spark.createDataFrame(rows, "l_suppkey int, m int, l_quantity double")
+    li.selectExpr("l_suppkey", "add_months(date'2020-01-01', m) l_shipdate", "l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = values(network.mce_all(spark, str(tmp_path)), "gene", "mce_score")
+    assert len(got) == 60
+    assert network.top_regulator_all(spark, str(tmp_path)).first().gene == min(got, key=lambda g: (got[g], g)) >= 50
+
+
 def test_triangles(spark):
     tri = [(0, 1, 1), (1, 2, 1), (0, 2, 1)]
     assert values(motif.motifs(make(spark, tri, 3)), "idx", "triangles", "clustering_coeff", "degree") == dict.fromkeys(range(3), (1, 1.0, 2))
