@@ -109,17 +109,33 @@ def max_genes_prefix(spark, d):
     return counts.row_prefix(spark, f"{d}/lineitem.parquet", 1000).select("row_idx", "l_orderkey", "l_linenumber")
 
 
+def max_genes_half(spark, d):
+    """Rows of the first half of the file's lines."""
+    path = f"{d}/lineitem.parquet"
+    return counts.row_prefix(spark, path, spark.read.parquet(path).count() // 2).select("row_idx", "l_orderkey", "l_linenumber")
+
+
 def wide_to_long(spark, d):
     t = table(spark, d, "gpu_gnn_embeddings").drop("computed_at", "loaded_at")
     return counts.to_long(t).where("value is not null and not isnan(value)").groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gene").alias("genes"))
 
 
 def n_genes_prefix(spark, d):
-    """Edges among the first half of the gene axis."""
+    """Edges among the genes of index below 1,500."""
     e = graph.clean_edges(table(spark, d, "edge_list"))
     return e.where("src < 1500 and dst < 1500").select("src", "dst", _r("weight"))
 
 
+def n_genes_half(spark, d):
+    """Edges among the first half of the gene axis: the indexes below that of the middle gene."""
+    genes = table(spark, d, "genes_filtered").where("gene_idx is not null").select("gene_idx").distinct()
+    genes = Workspace(spark, "axis").save(genes, "genes")
+    n = genes.count()
+    bound = F.lit(counts.nth_smallest(genes, "gene_idx", n // 2) if n else None)
+    e = graph.clean_edges(table(spark, d, "edge_list"))
+    return e.where((F.col("src") < bound) & (F.col("dst") < bound)).select("src", "dst", _r("weight"))
+
+
 # graph queries --------------------------------------------------------------
 
 
@@ -327,8 +343,8 @@ def timing_totals(spark, d):
     return report.report_totals(timing_speedup(spark, d)).select(*[_r(c, 4) for c in ("total_single", "total_parallel", "mean_speedup", "mean_efficiency", "overall_speedup")])
 
 
-_NAMES = """lib_sizes cpm cpm_filter log2_cpm zscore coexpr_edges coexpr_edges_emb coexpr_edges_blocks max_genes_prefix wide_to_long
-n_genes_prefix symmetric_edges graph_stats weighted_degree isolated_nodes gene_id_join topn_subgraph spmv spgemm col_stochastic
+_NAMES = """lib_sizes cpm cpm_filter log2_cpm zscore coexpr_edges coexpr_edges_emb coexpr_edges_blocks max_genes_prefix max_genes_half wide_to_long
+n_genes_prefix n_genes_half symmetric_edges graph_stats weighted_degree isolated_nodes gene_id_join topn_subgraph spmv spgemm col_stochastic
 row_stochastic vector_norms bfs_single bfs_multi bfs_pivot reachable pagerank_k pagerank_compat_k rwr_k rwr_ensemble_k hits_k
 cond_entropy_pairs mce top_regulator cond_entropy_pairs_all mce_all top_regulator_all motif_weighted motif_unweighted motif_totals modularity louvain louvain_quality mcl_step
 mcl_k mcl_clusters gcn_norm_adj gcn_propagate gcn_embed timing_speedup three_way timing_totals""".split()

@@ -110,8 +110,10 @@ SQL = {
     "coexpr_edges_emb": f"WITH {_EMBR} SELECT src, dst, round(weight, 6) AS weight FROM r WHERE weight >= {EMB}",
     "coexpr_edges_blocks": f"WITH {_EMBR} SELECT src, dst, round(weight, 6) AS weight FROM r WHERE weight >= {EMB}",
     "max_genes_prefix": "SELECT row_idx, l_orderkey, l_linenumber FROM (SELECT row_number() OVER () - 1 AS row_idx, l_orderkey, l_linenumber FROM lineitem) WHERE row_idx < 1000",
+    "max_genes_half": "SELECT row_idx, l_orderkey, l_linenumber FROM (SELECT row_number() OVER () - 1 AS row_idx, l_orderkey, l_linenumber FROM lineitem) WHERE row_idx < (SELECT count(*) // 2 FROM lineitem)",
     "wide_to_long": "WITH u AS (UNPIVOT (SELECT * EXCLUDE (computed_at, loaded_at) FROM gpu_gnn_embeddings) ON COLUMNS(* EXCLUDE gene_id) INTO NAME sample VALUE value) SELECT sample, count(*) AS n, count(DISTINCT gene_id) AS genes FROM u WHERE NOT isnan(value::DOUBLE) GROUP BY sample",
     "n_genes_prefix": f"WITH {_G} SELECT src, dst, round(weight, 6) AS weight FROM e WHERE src < 1500 AND dst < 1500",
+    "n_genes_half": f"WITH {_G}, axis AS (SELECT gene_idx, row_number() OVER (ORDER BY gene_idx) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT gene_idx FROM genes_filtered WHERE gene_idx IS NOT NULL)), mid AS (SELECT gene_idx AS bound FROM axis WHERE pos = n // 2) SELECT src, dst, round(weight, 6) AS weight FROM e JOIN mid ON src < bound AND dst < bound",
     "symmetric_edges": f"WITH {_G} SELECT src, dst, round(weight, 6) AS weight FROM s",
     "graph_stats": f"WITH {_G}, {_DEG} SELECT count(*) AS nodes, sum(degree)::BIGINT AS nnz, (sum(degree) // 2)::BIGINT AS unique_edges, round(sum(degree) / (count(*) * count(*)), 9) AS density, round(avg(weighted_degree), 6) AS avg_degree, round(max(weighted_degree), 6) AS max_degree, count(*) FILTER (weighted_degree = 0) AS isolated FROM d",
     "weighted_degree": f"WITH {_G}, {_DEG} SELECT idx, degree, round(weighted_degree, 6) AS weighted_degree FROM d",

@@ -243,6 +243,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert len(made) == 1
 
 
+def test_half_of_a_wide_gene_axis(spark, tmp_path):
+    from netspark.plans import network
+
+    axis = [7 * k * k + 5_000 for k in range(1_001)]  # not dense, all above 1,500
+    spark.createDataFrame([(v,) for v in axis] + [(None,)], "gene_idx int").write.parquet(str(tmp_path / "genes_filtered.parquet"))
+    ends = list(zip(axis, axis[1:]))
+    spark.createDataFrame([(a, b, 0.5, 1, 1) for a, b in ends], "src int, dst int, weight double, computed_at int, loaded_at int").write.parquet(str(tmp_path / "edge_list.parquet"))
+    assert {(r.src, r.dst) for r in network.n_genes_half(spark, str(tmp_path)).collect()} == set(ends[:499])
+    odd = spark.createDataFrame([(v,) for v in (-9, 3, 3, 2**31 - 1, -(2**31))], "v int")
+    assert [counts.nth_smallest(odd, "v", n) for n in range(5)] == [-(2**31), -9, 3, 3, 2**31 - 1]
+    spark.range(5_000).selectExpr("id l_orderkey", "1 l_linenumber").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert sorted(r.row_idx for r in network.max_genes_half(spark, str(tmp_path)).collect()) == list(range(2_500))
+
+
 def test_best_of_restarts(spark):
     g = two_triangles(spark)
     best = community.best_louvain(g, restarts=2, levels=1, passes=10)
