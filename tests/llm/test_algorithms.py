@@ -164,3 +164,9 @@ def test_near_over_cells(spark):
     data = [(f"v{i:03d}", list(map(float, mid[i % 12] + 0.1 * rng.standard_normal(8)))) for i in range(360)]
     got, want = near(spark, data, shard_rows=30, probes=3), brute_near(data, 3)
     assert np.mean([got.get(x, ("",))[0] == want[x][0] for x in want]) > 0.9
+
+
+def test_near_searches_every_shard_at_every_size(spark):
+    rng = np.random.default_rng(6)
+    data = [(f"v{i:03d}", list(map(float, rng.standard_normal(16)))) for i in range(400)]
+    agree(near(spark, data, shard_rows=25), brute_near(data, 3))
