@@ -1,17 +1,19 @@
 """Subject areas of documents: bisecting k-means, leaf labels, leaf mixtures.
 
 1. Every text becomes the term codes of its body's sentences (``bodytext``).
-2. Document frequencies over all documents choose the terms: the frequent ones
-   make the vectors, a wider set serves as evidence.
+2. Document frequencies over all documents choose the terms; the frequent ones
+   make the vectors.
 3. Documents are unit vectors (log term frequency times squared idf, projected on
    ``DIMS`` fixed random directions). Bisecting k-means splits the leaves of
    largest error, all leaves of a round at once, by Spark passes whose only result
    are the sums of the halves.
-4. A leaf's subject mixture comes from the labelled documents in it; a term's
-   evidence for a subject is the log ratio of its mixture over the leaves to that
-   of all documents, and only discriminative terms count.
-5. A sentence treats the subject its terms speak for most, if they say enough; a
-   document has the subjects that hold ``min_share`` of its sentences.
+4. Terms are counted by leaf over all documents. A leaf is labelled by its most
+   discriminative terms. Its subject mixture comes from the labelled documents in
+   it and from its label: a term stands for the mixtures of the leaves that it
+   labels, so leaves without labelled documents learn from those they share terms with.
+5. A sentence is told apart among the leaves by its terms, the document's own leaf
+   being more likely beforehand, and treats the subject that the mixtures of its
+   likely leaves agree on. A document has the subjects of ``min_share`` of its sentences.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from netspark.workspace import Workspace
 
 DIMS = 256
-MAX_TERMS = 16_384  # most frequent eligible terms; bounds what is sent to tasks
+MAX_TERMS = 65_536  # what is sent to tasks is bounded by terms times leaves; more is an error
 MAX_LABELS = 100_000  # rows of labels that are read; they are a sample by nature
-MAX_SUBJECTS = 1_000
+MAX_SUBJECTS = 1_000  # more is an error
 SAMPLE = 16_384  # vectors on which splits are started
+LABEL_TERMS = 20  # discriminative terms of a leaf's label
 
 
 def parse(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -48,25 +51,27 @@ def parse(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return have.mapInPandas(run, f"id {kind}, codes array<int>, ends array<int>")
 
 
-def _place(terms: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each code among the sorted terms, and whether it is there."""
-    p = np.searchsorted(terms, codes)
-    p[p == len(terms)] = 0
-    return p, terms[p] == codes
+def _vectors(terms: np.ndarray, wide: np.ndarray, weight: np.ndarray):
+    """(id, at, ends, v): the known terms of each sentence by their number, and the document's unit vector."""
 
-
-def _vectors(terms: np.ndarray, weight: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        axes = np.random.default_rng(1).standard_normal((len(terms), DIMS)).astype("f4") * weight[:, None].astype("f4")
+        axes = np.random.default_rng(1).standard_normal((int(wide.sum()), DIMS)).astype("f4") * weight[:, None].astype("f4")
+        axis_of = np.cumsum(wide) - 1
         for b in batches:
-            out = []
-            for codes in b["codes"]:
-                p, hit = _place(terms, np.asarray(codes))
-                at, tf = np.unique(p[hit], return_counts=True)
-                v = (1 + np.log(tf)).astype("f4") @ axes[at] if len(at) else np.zeros(DIMS, "f4")
+            ats, ends, out = [], [], []
+            for codes, stops in zip(b["codes"], b["ends"]):
+                codes = np.asarray(codes)
+                p = np.searchsorted(terms, codes)
+                p[p == len(terms)] = 0
+                hit = terms[p] == codes
+                p = p[hit].astype("i4")
+                ats.append(p)
+                ends.append(np.concatenate([[0], np.cumsum(hit)])[np.asarray(stops)].astype("i4"))
+                term, tf = np.unique(axis_of[p[wide[p]]], return_counts=True)
+                v = (1 + np.log(tf)).astype("f4") @ axes[term] if len(term) else np.zeros(DIMS, "f4")
                 norm = float(np.linalg.norm(v))
                 out.append((v / norm if norm > 0 else v).astype("f2").tobytes())
-            yield pd.DataFrame({"id": b["id"], "v": out})
+            yield pd.DataFrame({"id": b["id"], "at": ats, "ends": ends, "v": out})
 
     return run
 
@@ -186,26 +191,76 @@ def bisect(vectors: DataFrame, leaves: int, rounds: int = 2) -> tuple[Tree, dict
     return tree, {leaf: n for leaf, (n, _) in at.items()}
 
 
-def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, ident: str = "doc_id", text: str = "text", *, leaves: int = 128, min_share: float = 0.25, vector_df: float = 3e-3, evidence_df: float = 1e-3, max_df: float = 0.3, least_lift: float = 0.6, least_evidence: float = 1.0) -> DataFrame:
+def _term_counts(docs: DataFrame, tree: Tree, terms: int, leaves: int) -> np.ndarray:
+    """(terms, leaves): documents of each leaf with each term."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                leaf = tree.leaves(_matrix(b["v"]))
+                cells = [np.unique(at).astype("i8") * leaves + f for at, f in zip(b["at"], leaf) if f >= 0]
+                cell, n = np.unique(np.concatenate(cells or [np.zeros(0, "i8")]), return_counts=True)
+                yield pd.DataFrame({"cell": cell, "n": n.astype("i8")})
+
+    got = docs.select("at", "v").mapInPandas(part, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(terms * leaves)
+    out[got["cell"].to_numpy("i8")] = got["n"].to_numpy("f8")
+    return out.reshape(terms, leaves)
+
+
+def leaf_labels(counts: np.ndarray, size: np.ndarray, freq: np.ndarray, n: int, top: int = LABEL_TERMS) -> np.ndarray:
+    """(terms, leaves): weights, of sum 1, of the ``top`` most discriminative terms of each leaf.
+
+    A term counts by its log lift in the leaf times the root of its documents there.
+    """
+    rate = freq[:, None] / n
+    weight = np.sqrt(counts) * np.maximum(np.log((counts + 2 * rate) / (size + 2) / rate), 0)
+    least = np.sort(weight, axis=0)[-min(top, len(weight))]
+    weight = np.where((weight >= least) & (weight > 0), weight, 0)
+    return weight / np.maximum(weight.sum(0), 1e-9)
+
+
+def leaf_mixtures(votes: np.ndarray, labels: np.ndarray, size: np.ndarray, trust: float = 4.0, rounds: int = 4) -> np.ndarray:
+    """(leaves, subjects): the votes of labelled documents, and ``trust`` votes by the leaf's label.
+
+    A label term's own mixture is that of the leaves it labels, weighted by their votes.
+    """
+    prior = votes.sum(0) / max(votes.sum(), 1e-9)
+    held = votes.sum(1, keepdims=True)
+    mix = (votes + 0.5 * prior) / (held + 0.5)
+    carried = labels * size * (held[:, 0] + 0.05)
+    for _ in range(rounds):
+        term = (carried @ mix + 0.2 * prior) / (carried.sum(1, keepdims=True) + 0.2)
+        mix = (votes + trust * labels.T @ term) / (held + trust)
+    return mix
+
+
+def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, ident: str = "doc_id", text: str = "text", *, leaves: int = 128, min_share: float = 0.25, vector_df: float = 3e-3, evidence_df: float = 1e-3, max_df: float = 0.3, own_leaf: float = 1.0, least: float = 0.45) -> DataFrame:
     """(``ident``, ``subject``, ``share``): the subjects that hold ``min_share`` of a document's body.
 
     ``labels`` (``ident``, ``subject``, ``annotator``) is a sample of labelled
     documents of at most ``MAX_LABELS`` rows, the smallest idents; labels compare
     trimmed and ignoring case, those not in ``subjects`` stand for no subject,
     repeated ones of one annotator count once, and a document's labels share one
-    vote. ``subjects`` has the column ``subject`` and at most ``MAX_SUBJECTS`` rows.
+    vote. ``subjects`` has the column ``subject``; more than ``MAX_SUBJECTS`` of
+    them, or more than ``MAX_TERMS`` terms with a document frequency from
+    ``evidence_df`` to ``max_df``, are an error. ``own_leaf`` is what the document's
+    leaf has over others, in nats; ``least`` the share of a sentence's mixture that
+    its subject needs.
 
     Documents with a NULL or empty text, or without body sentences, have no
-    subject and no row. Repeated rows are documents of their own. Without
-    documents, labels or subjects the result is empty. Counts, vectors and
-    clusters are those of all documents; texts are read whole, once. Extra columns
-    are not read.
+    subject and no row. Repeated rows and rows with a NULL ident are documents of
+    their own. Without documents, labels or subjects the result is empty. Counts,
+    vectors and clusters are those of all documents; texts are read whole, once.
+    Extra columns are not read.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "subjects")
     kind = docs.schema[ident].dataType.simpleString()
     nothing = spark.createDataFrame([], f"`{ident}` {kind}, subject string, share double")
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(MAX_SUBJECTS).collect())
+    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     tidy = {s.strip().lower(): i for i, s in enumerate(names)}
     parsed = ws.save(parse(docs, ident, text), "parsed")
     n = parsed.count()
@@ -214,74 +269,69 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, ident
 
     df = parsed.select(F.explode(F.array_distinct("codes")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
     df = df.where((F.col("df") >= max(3.0, evidence_df * n)) & (F.col("df") <= max(3.0, max_df * n)))
-    rows = df.orderBy(F.desc("df"), "code").limit(MAX_TERMS).toPandas().sort_values("code")
+    rows = df.limit(MAX_TERMS + 1).toPandas().sort_values("code")
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms: raise evidence_df")
     terms, freq = rows["code"].to_numpy(np.int32), rows["df"].to_numpy("f8")
     if not len(terms):
         return nothing
     wide = freq >= vector_df * n
-    vectors = ws.save(parsed.select("id", "codes").mapInPandas(_vectors(terms[wide], np.log(n / freq[wide]) ** 2), f"id {kind}, v binary"), "vectors")
-    tree, size = bisect(vectors, leaves)
+    known = ws.save(parsed.mapInPandas(_vectors(terms, wide, np.log(n / freq[wide]) ** 2), f"id {kind}, at array<int>, ends array<int>, v binary"), "known")
+    ws.drop("parsed")
+    tree, held = bisect(known, leaves)
+    k, count = len(names), len(tree.splits) + 1
+    size = np.array([held.get(leaf, 0) for leaf in range(count)], "f8")
 
     mark = labels.select(F.col(ident).alias("id"), F.lower(F.trim("subject")).alias("s"), F.col("annotator").alias("by")).where("id is not null and s is not null").distinct()
-    mark = mark.orderBy("id", "s", "by").limit(MAX_LABELS)
+    mark = ws.save(mark.orderBy("id", "s", "by").limit(MAX_LABELS), "marks")
+    mark = mark.join(mark.groupBy("id").agg((1.0 / F.count(F.lit(1))).alias("w")), "id").select("id", "s", "w")
 
     def leaf_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"id": b["id"], "s": b["s"], "leaf": tree.leaves(_matrix(b["v"])).astype("i4")})
+                yield pd.DataFrame({"s": b["s"], "w": b["w"], "leaf": tree.leaves(_matrix(b["v"])).astype("i4")})
 
-    said = vectors.join(F.broadcast(mark.select("id", "s")), "id").mapInPandas(leaf_of, f"id {kind}, s string, leaf int").toPandas()
-    if not len(said):
+    said = known.select("id", "v").join(F.broadcast(mark), "id").mapInPandas(leaf_of, "s string, w double, leaf int")
+    said = said.groupBy("s", "leaf").agg(F.sum("w").alias("w")).where("leaf >= 0").collect()
+    if not said:
         return nothing
-    k = len(names) + 1  # the last stands for no subject
-    votes = np.zeros((len(tree.splits) + 1, k))
-    said["w"] = 1.0 / said.groupby("id")["s"].transform("size")
-    for leaf, s, w in zip(said["leaf"], said["s"], said["w"]):
-        if leaf >= 0:
-            votes[leaf, tidy.get(s, k - 1)] += w
-    prior = votes.sum(0) / max(votes.sum(), 1e-9)
-    mixture = (votes + 2 * prior) / (votes.sum(1, keepdims=True) + 2)
-    base = sum(size[leaf] * mixture[leaf] for leaf in size) / sum(size.values())
-
-    def term_mixtures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(terms), k))
-        for b in batches:
-            if not len(b):
-                continue
-            leaf = tree.leaves(_matrix(b["v"]))
-            for codes, at in zip(b["codes"], leaf):
-                if at >= 0:
-                    p, hit = _place(terms, np.asarray(codes))
-                    total[np.unique(p[hit])] += mixture[at]
-        at = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"term": at.astype("i4"), **{f"m{j}": total[at, j] for j in range(k)}})
-
-    schema = "term int, " + ", ".join(f"m{j} double" for j in range(k))
-    joined = parsed.select("id", "codes").join(vectors, "id")
-    told = joined.mapInPandas(term_mixtures, schema).groupBy("term").agg(*[F.sum(f"m{j}").alias(f"m{j}") for j in range(k)]).toPandas()
-    ws.drop("vectors")
-    total = np.zeros((len(terms), k))
-    total[told["term"].to_numpy()] = told[[f"m{j}" for j in range(k)]].to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lift = np.log((total + prior) / (total.sum(1, keepdims=True) + 1) / base)[:, :-1]
-    evidence = np.where(np.isfinite(lift) & (lift > least_lift), lift, 0.0)
+    votes = np.zeros((count, k + 1))  # the last stands for no subject
+    for s, leaf, w in said:
+        votes[leaf, tidy.get(s, k)] += w
+    counts = _term_counts(known, tree, len(terms), count)
+    mixture = leaf_mixtures(votes, leaf_labels(counts, size, freq, n), size)
+    base = size @ mixture / size.sum()
+    mixture = (mixture / np.sqrt(np.maximum(base, 1e-9))) ** 2
+    mixture /= np.maximum(mixture.sum(1, keepdims=True), 1e-9)
+    rate = freq[:, None] / n
+    speaks = np.log((counts + 2 * rate) / (size + 2) / rate).astype("f4")
+    before = np.log(np.maximum(size, 0.5) / size.sum()).astype("f4")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, found, share = [], [], []
-            for i, codes, ends in zip(b["id"], b["codes"], b["ends"]):
-                p, hit = _place(terms, np.asarray(codes))
-                score = np.zeros((len(codes) + 1, k - 1))
-                np.cumsum(np.where(hit[:, None], evidence[p], 0.0), 0, out=score[1:])
-                ends = np.asarray(ends)
-                score = score[ends] - score[np.concatenate([[0], ends[:-1]])]
-                best = score.argmax(1)
-                got = np.bincount(best[score.max(1) > least_evidence], minlength=k - 1) / len(ends)
+            own = tree.leaves(_matrix(b["v"])) if len(b) else []
+            for i, at, ends, home in zip(b["id"], b["at"], b["ends"], own):
+                at, ends = np.asarray(at), np.asarray(ends)
+                start = np.concatenate([[0], ends[:-1]])
+                some = np.flatnonzero(ends > start)
+                z = before.copy()
+                if home >= 0:
+                    z[home] += own_leaf
+                got = np.zeros(k)
+                for x in range(0, len(some), 512):  # a bounded part of a long text at a time
+                    part = some[x : x + 512]
+                    lo = start[part[0]]
+                    q = np.add.reduceat(speaks[at[lo : ends[part[-1]]]], start[part] - lo, axis=0) + z
+                    q = np.exp(q - q.max(1, keepdims=True))
+                    subject = (q @ mixture / q.sum(1, keepdims=True))[:, :k]
+                    got += np.bincount(subject.argmax(1)[subject.max(1) > least], minlength=k)
+                got /= len(ends)
                 for j in np.flatnonzero(got >= min_share):
                     ids.append(i)
                     found.append(names[j])
                     share.append(got[j])
             yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "subject": pd.Series(found, dtype=object), "share": pd.Series(share, dtype="f8")})
 
-    out = parsed.mapInPandas(assign, f"id {kind}, subject string, share double")
+    out = known.select("id", "at", "ends", "v").mapInPandas(assign, f"id {kind}, subject string, share double")
     return out.select(F.col("id").alias(ident), "subject", F.round("share", 6).alias("share"))

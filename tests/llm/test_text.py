@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from netspark.llm.bodytext import body_sentences, coded, repaired
 from netspark.llm.mixing import mix_sources, reachable
 from netspark.llm.packing import close_windows, fill_report, pack, sum_of_squares
-from netspark.llm.subjects import subject_areas
+from netspark.llm.subjects import leaf_labels, leaf_mixtures, subject_areas
 from netspark.llm.tokens import RANKS, encoding, token_counts
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer file")
@@ -175,16 +175,56 @@ def page(rng, subject):
 def test_subjects_of_a_small_corpus(spark):
     rng = np.random.default_rng(3)
     truth = {i: ("law" if i % 2 else "food") for i in range(240)}
-    docs = [(i, page(rng, s), 1.0) for i, s in truth.items()] + [(900, "Law | Food\nMany people wrote to us.", 1.0), (901, None, 1.0), (902, "", 1.0), (903, "Law Food Sport", 1.0), (904, page(rng, "law").replace("\nAll", " " + page(rng, "food").split("\n")[1] + "\nAll"), 1.0)]
+    docs = [(i, page(rng, s), 1.0) for i, s in truth.items()] + [(900, "Law | Food\nMany people wrote to us.", 1.0), (901, None, 1.0), (902, "", 1.0), (903, "Law Food Sport", 1.0), (904, page(rng, "law").replace("\nAll", " " + page(rng, "food").split("\n")[1] + "\nAll"), 1.0), (None, page(rng, "law"), 1.0), (905, page(rng, "law"), 1.0), (905, page(rng, "food"), 1.0)]
     labels = [(i, f" {truth[i].upper()}", "ann") for i in range(0, 60)] + [(0, "food", "ann"), (900, "none", "ann"), (None, "law", "ann"), (5, None, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string, share double")
     la = spark.createDataFrame(labels, "doc_id long, subject string, annotator string")
     su = spark.createDataFrame([("law",), ("food",)], "subject string")
     got = collections.defaultdict(set)
-    for r in subject_areas(d, la, su, leaves=8, max_df=0.6, least_lift=0.3, least_evidence=0.5).collect():  # of two subjects a lift is at most log 2
+    for r in subject_areas(d, la, su, leaves=8, max_df=0.6).collect():
         got[r.doc_id].add(r.subject)
     assert sum(got[i] == {s} for i, s in truth.items()) > 230
-    assert got[904] == {"law", "food"} and not any(got[i] for i in (900, 901, 902, 903))
+    assert got[904] == {"law", "food"} == got[905] and got[None] == {"law"} and not any(got[i] for i in (900, 901, 902, 903))
     assert subject_areas(d.limit(0), la, su).count() == 0
     assert subject_areas(d, la.limit(0), su, leaves=4).count() == 0
     assert subject_areas(d, la, su.limit(0)).count() == 0
+
+
+def test_subjects_come_from_the_tree(spark, monkeypatch):
+    """Without the splits, or with a label of no terms and no votes, nothing is told apart."""
+    from netspark.llm import subjects as module
+
+    rng = np.random.default_rng(4)
+    truth = {i: ("law" if i % 2 else "food") for i in range(120)}
+    d = spark.createDataFrame([(i, page(rng, s)) for i, s in truth.items()], "doc_id long, text string")
+    la = spark.createDataFrame([(i, truth[i], "ann") for i in range(40)], "doc_id long, subject string, annotator string")
+    su = spark.createDataFrame([("law",), ("food",)], "subject string")
+
+    def right():
+        return sum(truth[r.doc_id] == r.subject for r in subject_areas(d, la, su, leaves=8, max_df=0.6).collect())
+
+    assert right() > 110
+    monkeypatch.setattr(module, "bisect", lambda known, leaves: (module.Tree(), {0: known.count()}))
+    assert right() < 70
+
+
+def test_leaf_labels_and_mixtures():
+    counts = np.array([[9.0, 0, 8], [0, 9, 0], [5, 5, 5]])  # term 0 marks leaves 0 and 2, term 1 leaf 1
+    labels = leaf_labels(counts, np.array([10.0, 10, 10]), counts.sum(1), 30, top=1)
+    assert labels.argmax(0).tolist() == [0, 1, 0]
+    mix = leaf_mixtures(np.array([[3.0, 0], [0, 3], [0, 0]]), labels, np.array([10.0, 10, 10]))
+    assert mix.sum(1) == pytest.approx(np.ones(3)) and mix[2, 0] > 0.8 and mix[0, 0] > 0.9 > 0.1 > mix[1, 0]
+
+
+def test_subject_limits_are_errors(spark, monkeypatch):
+    from netspark.llm import subjects as module
+
+    d = spark.createDataFrame([(i, "The court sat and the judge wrote.") for i in range(4)], "doc_id long, text string")
+    la = spark.createDataFrame([(1, "law", "ann")], "doc_id long, subject string, annotator string")
+    su = spark.createDataFrame([("law",), ("food",)], "subject string")
+    monkeypatch.setattr(module, "MAX_TERMS", 3)
+    with pytest.raises(ValueError, match="terms"):
+        subject_areas(d, la, su, max_df=1.0)
+    monkeypatch.setattr(module, "MAX_SUBJECTS", 1)
+    with pytest.raises(ValueError, match="subjects"):
+        subject_areas(d, la, su)
