@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netspark.functions.clean import tidy_key, usable
 from netspark.operators import community, correlate, entropy, expr, gcn, graph, linalg, mcl, motif, rank, report, traverse
+from netspark.operators.standing import standing_rows
 from netspark.sources import counts
 from netspark.sources.sinks import with_gene_ids
 from netspark.sources.tables import table
@@ -104,6 +106,14 @@ def coexpr_edges_blocks(spark, d):
     return _emb_edges(spark, d, True).select("src", "dst", _r("weight"))
 
 
+def coexpr_edges_gaps(spark, d):
+    """Edges of genes whose vectors lack elements, by blocks: sums go over common samples."""
+    dims = [f"dim_{i}" for i in range(32)]
+    t = standing_rows(table(spark, d, "gpu_gnn_embeddings"), tidy_key("gene_id"), dims, name="gene_id")
+    z = expr.zscore(counts.to_long(t, "gene_id").where(usable("value")))
+    return correlate.edges_by_blocks(z, 32, 0.9).select("src", "dst", _r("weight"))
+
+
 def max_genes_prefix(spark, d):
     """Rows of the first 1,000 lines of the file: a prefix in file order is the operator."""
     return counts.row_prefix(spark, f"{d}/lineitem.parquet", 1000).select("row_idx", "l_orderkey", "l_linenumber")
@@ -343,7 +353,7 @@ def timing_totals(spark, d):
     return report.report_totals(timing_speedup(spark, d)).select(*[_r(c, 4) for c in ("total_single", "total_parallel", "mean_speedup", "mean_efficiency", "overall_speedup")])
 
 
-_NAMES = """lib_sizes cpm cpm_filter log2_cpm zscore coexpr_edges coexpr_edges_emb coexpr_edges_blocks max_genes_prefix max_genes_half wide_to_long
+_NAMES = """lib_sizes cpm cpm_filter log2_cpm zscore coexpr_edges coexpr_edges_emb coexpr_edges_blocks coexpr_edges_gaps max_genes_prefix max_genes_half wide_to_long
 n_genes_prefix n_genes_half symmetric_edges graph_stats weighted_degree isolated_nodes gene_id_join topn_subgraph spmv spgemm col_stochastic
 row_stochastic vector_norms bfs_single bfs_multi bfs_pivot reachable pagerank_k pagerank_compat_k rwr_k rwr_ensemble_k hits_k
 cond_entropy_pairs mce top_regulator cond_entropy_pairs_all mce_all top_regulator_all motif_weighted motif_unweighted motif_totals modularity louvain louvain_quality mcl_step

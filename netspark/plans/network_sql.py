@@ -109,6 +109,8 @@ SQL = {
     "coexpr_edges": f"WITH {_GRIDR} SELECT src, dst, round(weight, 6) AS weight FROM r WHERE weight >= 0.7",
     "coexpr_edges_emb": f"WITH {_EMBR} SELECT src, dst, round(weight, 6) AS weight FROM r WHERE weight >= {EMB}",
     "coexpr_edges_blocks": f"WITH {_EMBR} SELECT src, dst, round(weight, 6) AS weight FROM r WHERE weight >= {EMB}",
+    "coexpr_edges_gaps": f"""WITH t AS (SELECT * EXCLUDE (rn) FROM (SELECT upper(trim(gene_id, ' ' || chr(9) || chr(10) || chr(13))) AS gene, COLUMNS('dim_.*'), row_number() OVER (PARTITION BY upper(trim(gene_id, ' ' || chr(9) || chr(10) || chr(13))) ORDER BY computed_at DESC, loaded_at DESC) AS rn FROM gpu_gnn_embeddings WHERE gene_id IS NOT NULL) WHERE rn = 1),
+ x AS MATERIALIZED (SELECT gene, sample, value::DOUBLE AS value FROM (UNPIVOT t ON COLUMNS(* EXCLUDE gene) INTO NAME sample VALUE value) WHERE NOT isnan(value::DOUBLE)), {_Z}, {_PAIR} SELECT src, dst, round(weight, 6) AS weight FROM r WHERE weight >= 0.9""",
     "max_genes_prefix": "SELECT row_idx, l_orderkey, l_linenumber FROM (SELECT row_number() OVER () - 1 AS row_idx, l_orderkey, l_linenumber FROM lineitem) WHERE row_idx < 1000",
     "max_genes_half": "SELECT row_idx, l_orderkey, l_linenumber FROM (SELECT row_number() OVER () - 1 AS row_idx, l_orderkey, l_linenumber FROM lineitem) WHERE row_idx < (SELECT count(*) // 2 FROM lineitem)",
     "wide_to_long": "WITH u AS (UNPIVOT (SELECT * EXCLUDE (computed_at, loaded_at) FROM gpu_gnn_embeddings) ON COLUMNS(* EXCLUDE gene_id) INTO NAME sample VALUE value) SELECT sample, count(*) AS n, count(DISTINCT gene_id) AS genes FROM u WHERE NOT isnan(value::DOUBLE) GROUP BY sample",

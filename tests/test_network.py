@@ -41,6 +41,19 @@ def test_blocks_equal_the_join(spark):
     assert a == b and len(a) > 20
 
 
+def test_blocks_equal_the_join_with_missing_samples(spark):
+    x = spark.createDataFrame([(g, s, float((g * 7 + s * s) % 13)) for g in range(2) for s in range(10) if s != g], "gene int, sample int, value double")
+    a, b = (f(expr.zscore(x), 10, -2.0).first().weight for f in (correlate.edges_by_join, correlate.edges_by_blocks))
+    assert a == pytest.approx(b)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        rows = [(g, f"s{s}", float(v) if rng.random() > 0.02 else None) for g in range(30) for s, v in enumerate(rng.random(9)) if rng.random() > 0.2 * seed]
+        z = expr.zscore(spark.createDataFrame(rows, "gene int, sample string, value double"))
+        a = {(r.src, r.dst): r.weight for r in correlate.edges_by_join(z, 9, 0.1).collect()}
+        b = {(r.src, r.dst): r.weight for r in correlate.edges_by_blocks(z, 9, 0.1, block=[7, 64, 11][seed]).collect()}
+        assert len(a) > 20 and a == pytest.approx(b)
+
+
 def test_zero_library_and_filter_rounding(spark):
     x = long(spark, {0: [0, 2], 1: [0, 6]})
     assert values(expr.library_sizes(x), "sample", "lib_size") == {0: 1.0, 1: 8.0}
