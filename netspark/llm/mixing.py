@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from netspark.workspace import Workspace
 
 FINE = 1024
+SUMS = 1 << 17  # sums of one pass that come to the driver, of at most 2,000 sources
 
 
 def reachable(targets: dict[str, tuple[float, int]], available: dict[str, int], total: int) -> dict[str, float]:
@@ -39,12 +40,13 @@ def reachable(targets: dict[str, tuple[float, int]], available: dict[str, int],
     return goal
 
 
-def _case(source: Column, values: dict[str, float]) -> Column:
-    """A bounded map from source to number as one expression."""
-    out = F.lit(None).cast("double")
-    for s, v in values.items():
-        out = F.when(source == s, F.lit(float(v))).otherwise(out)
-    return out
+def _told(rows: DataFrame, **columns: dict[str, float]) -> DataFrame:
+    """``rows`` with a number a source in each of ``columns``, of the sources that all of them
+    have: a join with a broadcast of one row a source, of which the caller bounds the number."""
+    first, *more = columns.values()
+    listed = [(s, *(float(c[s]) for c in columns.values())) for s in first if all(s in c for c in more)]
+    told = rows.sparkSession.createDataFrame(listed, ", ".join(["source string", *(f"{c} double" for c in columns)]))
+    return rows.join(F.broadcast(told), "source")
 
 
 def _tilted(lam: Column, cap: Column, n: Column) -> Column:
@@ -65,9 +67,9 @@ def solve_tilts(hist: DataFrame, goal: dict[str, float], repeats: dict[str, int]
         todo = [s for s in lam if s not in done]
         if not todo:
             break
-        src, n, m = F.col("source"), F.col("n").cast("double"), _case(F.col("source"), {s: repeats[s] for s in todo})
-        r = _tilted(_case(src, {s: lam[s] for s in todo}), m, n)
-        at = hist.where(src.isin(todo)).groupBy("source").agg(F.sum(F.col("docs") * n * r).alias("g"), F.sum(F.when(r < m, F.col("docs") * n * n * r).otherwise(0.0)).alias("h"), F.max("n").alias("top"))
+        n, m = F.col("n").cast("double"), F.col("most")
+        r = _tilted(F.col("lam"), m, n)
+        at = _told(hist, lam={s: lam[s] for s in todo}, most=repeats).groupBy("source").agg(F.sum(F.col("docs") * n * r).alias("g"), F.sum(F.when(r < m, F.col("docs") * n * n * r).otherwise(0.0)).alias("h"), F.max("n").alias("top"))
         for x in at.collect():
             s, gap = x.source, x.g - goal[x.source]
             if abs(gap) <= rel * goal[s]:
@@ -118,58 +120,57 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, ident: str = "doc_id", sou
     goal = reachable(want, have, total)
     lam = solve_tilts(hist, goal, repeats, cap)
 
-    src = F.col("source")
-    rate = F.when(_case(src, {s: float(goal[s] >= cap[s] > 0) for s in want}) == 1, _case(src, repeats))
-    rate = rate.otherwise(_tilted(_case(src, lam), _case(src, repeats), F.col("n").cast("double")))
     listed = [s for s in want if goal[s] > 0]
-    base = docs.where(src.isin(listed)).withColumn("rate", rate) if listed else docs.where("false").withColumn("rate", F.lit(0.0))
+    full = {s: float(goal[s] >= cap[s] > 0) for s in listed}
+    rate = F.when(F.col("full") == 1, F.col("most")).otherwise(_tilted(F.col("lam"), F.col("most"), F.col("n").cast("double")))
+    base = _told(docs, full=full, most=repeats, lam={s: lam.get(s, 0.0) for s in listed}).withColumn("rate", rate).drop("full", "most", "lam")
     # u in [0, 1): the place of a record in the hashed order; it gets its last copy if u - fraction <= threshold
     u = F.shiftrightunsigned(F.xxhash64("id", "n"), 11).cast("double") / float(1 << 53)
     base = base.withColumn("least", F.floor("rate").cast("int")).withColumn("key", u - (F.col("rate") - F.floor("rate")))
     base = ws.save(base.withColumn("more", F.col("rate") > F.col("least")), "rates")
     floor = {r.source: int(r.t or 0) for r in base.groupBy("source").agg(F.sum(F.col("n") * F.col("least")).alias("t")).collect()}
     cut = _thresholds(base.where("more"), {s: goal[s] - floor.get(s, 0) for s in listed})
-    copies = F.col("least") + F.when(F.col("more") & (F.col("key") <= _case(src, cut)), 1).otherwise(0)
-    mix = base.withColumn("copies", copies.cast("int")).where("copies > 0").select(F.col("id").alias(ident), "source", F.col("n").alias("n_tokens"), "copies")
+    copies = F.col("least") + F.when(F.col("more") & (F.col("key") <= F.col("cut")), 1).otherwise(0)
+    mix = _told(base, cut={s: cut.get(s, -2.0) for s in listed}).withColumn("copies", copies.cast("int")).where("copies > 0").select(F.col("id").alias(ident), "source", F.col("n").alias("n_tokens"), "copies")
     mix = ws.save(mix, "mix")
     ws.drop("hist", "rates")
     got = {r.source: (int(r.t), int(r.d)) for r in mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.sum("copies").alias("d")).collect()}
-    full = sum(t for t, _ in got.values()) or 1
-    report = [(s, w, m, have.get(s, 0), int(round(goal[s])), *got.get(s, (0, 0)), round(got.get(s, (0, 0))[0] / full, 6), bool(cap[s] >= w * total and (cap[s] > 0 or w == 0))) for s, (w, m) in sorted(want.items())]
+    mixed = sum(t for t, _ in got.values()) or 1
+    report = [(s, w, m, have.get(s, 0), int(round(goal[s])), *got.get(s, (0, 0)), round(got.get(s, (0, 0))[0] / mixed, 6), bool(cap[s] >= w * total and (cap[s] > 0 or w == 0))) for s, (w, m) in sorted(want.items())]
     schema = "source string, target_share double, max_repeats int, available_tokens long, goal_tokens long, mixed_tokens long, mixed_docs long, real_share double, reached boolean"
     return mix, spark.createDataFrame(report, schema)
 
 
-def _thresholds(rows: DataFrame, need: dict[str, float], passes: int = 5) -> dict[str, float]:
+def _thresholds(rows: DataFrame, need: dict[str, float]) -> dict[str, float]:
     """Per source the key up to which the sizes add up to ``need``, as nearly as one record allows.
 
-    Every pass halves the open interval ten times at once: sizes are summed in
-    1,024 steps of the interval, and only the step that holds the threshold goes
-    on. What comes to the driver is at most 1,024 sums a source and pass.
+    Every pass cuts the open interval of each source into equal steps: sizes are
+    summed by step, and only the step that holds the threshold goes on. What comes
+    to the driver is at most ``SUMS`` sums a pass, or 32 a source.
     """
+    fine = max(32, min(FINE, SUMS // max(1, len(need))))
+    passes = math.ceil(50 / math.log2(fine))
     span = {s: (-1.0, 2.0, float(x)) for s, x in need.items()}  # from, width, tokens needed above from
     cut = {s: -2.0 for s in need}
     for p in range(passes):
         todo = {s: v for s, v in span.items() if v[2] > 0}
         if not todo:
             break
-        src = F.col("source")
-        lo, width = _case(src, {s: v[0] for s, v in todo.items()}), _case(src, {s: v[1] for s, v in todo.items()})
-        b = F.floor((F.col("key") - lo) / width * FINE)
+        b = F.floor((F.col("key") - F.col("lo")) / F.col("width") * fine)
         sums: dict[str, list[tuple[int, int]]] = {s: [] for s in todo}
-        last = rows.where(src.isin(list(todo))).withColumn("b", b).where((F.col("b") >= 0) & (F.col("b") < FINE))
+        last = _told(rows, lo={s: v[0] for s, v in todo.items()}, width={s: v[1] for s, v in todo.items()}).withColumn("b", b).where((F.col("b") >= 0) & (F.col("b") < fine))
         for r in last.groupBy("source", "b").agg(F.sum("n").alias("t")).orderBy("source", "b").collect():
             sums[r.source].append((int(r.b), int(r.t)))
         for s, (at, w, left) in todo.items():
             for k, t in sums[s]:
                 if t > left:
-                    cut[s] = at + k * w / FINE - w / FINE * 1e-9
+                    cut[s] = at + k * w / fine - w / fine * 1e-9
                     if p == passes - 1 and t - left < left:
-                        cut[s] = at + (k + 1) * w / FINE
-                    span[s] = (at + k * w / FINE, w / FINE, left)
+                        cut[s] = at + (k + 1) * w / fine
+                    span[s] = (at + k * w / fine, w / fine, left)
                     break
                 left -= t
-                cut[s] = at + (k + 1) * w / FINE - w / FINE * 1e-9
+                cut[s] = at + (k + 1) * w / fine - w / fine * 1e-9
             else:
                 span[s] = (at, w, 0.0)
     return cut

@@ -147,6 +147,20 @@ def test_mix_reports_what_cannot_be_reached(spark):
     assert [r.copies for r in mix if r.source == "small"] == [3]
 
 
+def test_mix_of_two_thousand_sources(spark):
+    rng = np.random.default_rng(5)
+    docs = [(i, f"s{i % 2000}", int(n)) for i, n in enumerate(rng.integers(20, 60, 40_000))]
+    w = rng.uniform(0.5, 1.5, 2000)
+    w /= w.sum()
+    mix, rep = mixed(spark, docs, [(f"s{i}", float(x), 3) for i, x in enumerate(w)])
+    assert len(rep) == 2000 and all(r.reached for r in rep.values())
+    total = sum(n for *_, n in docs)
+    assert sum(r.mixed_tokens for r in rep.values()) == pytest.approx(total, rel=0.01)
+    for i, x in enumerate(w):
+        assert abs(rep[f"s{i}"].mixed_tokens - x * total) <= 61
+        assert rep[f"s{i}"].real_share == pytest.approx(x, abs=1e-4)
+
+
 def test_mix_empty(spark):
     assert mixed(spark, [], [("a", 1.0, 1)])[0] == []
     mix, rep = mixed(spark, [(1, "a", 5)], [])
