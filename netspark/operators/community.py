@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.operators.graph import Graph
+from netspark.operators.graph import Graph, Spread
 from netspark.operators.iterate import Loop
-from netspark.operators.lookup import lookup_join
+from netspark.operators.lookup import hot_keys, lookup_join
 from netspark.workspace import Workspace
 
 
@@ -22,55 +22,76 @@ def modularity(g: Graph, parts: DataFrame) -> DataFrame:
     return one.select("communities", F.coalesce(F.col("inside") / F.nullif("m2", F.lit(0.0)) - F.col("kk") / F.nullif(F.col("m2") * F.col("m2"), F.lit(0.0)), F.lit(0.0)).alias("modularity"))
 
 
-def louvain(g: Graph, *, levels: int = 5, passes: int = 8, seed: int = 0) -> DataFrame:
+def louvain(g: Graph, *, tol: float = 1e-7, seed: int = 0, max_passes: int = 1000) -> DataFrame:
     """(idx, community) by parallel local moving and aggregation, after Blondel et al.
 
-    In a pass a hashed half of the vertices may move, each to the neighbouring
+    In a pass a hashed part of the vertices may move, each to the neighbouring
     community of greatest modularity gain (ties to the smaller community), so two
-    vertices seldom swap places. A level ends when neither half moves; communities then
-    become the vertices of the next level, with their inner weight as loops. All
-    of it are aggregates and joins on edges and on one-row-a-vertex tables.
+    vertices seldom swap places. The part is a half, less after a pass that lowered the
+    modularity, and all of them once few still move. A level ends when a pass in
+    which all may move moves nothing, or when the modularity has not risen by ``tol``
+    for four passes; communities then become the vertices of the next level, with
+    their inner weight as loops. The levels end when one moves nothing.
+    ``max_passes`` is a guard: reaching it is an error, not a result.
+
+    All of it are aggregates and joins on edges and on one-row-a-vertex tables, in
+    which small tables are broadcast whole and hot vertices and communities apart.
     """
-    ws = Workspace(g.edges.sparkSession, f"louvain{seed}")
+    spark = g.edges.sparkSession
+    ws = Workspace(spark, f"louvain{seed}")
     e = g.edges.select("src", "dst", "weight")
     m2 = e.agg(F.sum("weight")).first()[0] or 0.0
     final = ws.save(g.vertices.select("idx", F.col("idx").alias("community")), "final0")
     if m2 <= 0:
         return final
-    for level in range(1, levels + 1):
-        loop = Loop(ws, f"move{level}-")
+    level = passes = 0
+    while True:
+        level += 1
         k = e.groupBy(F.col("src").alias("idx")).agg(F.sum("weight").alias("k"))
-        state, _ = loop.save(k.select("idx", "k", F.col("idx").alias("c")))
-        inner = e.where("src <> dst")
-        hot = g.hot if level == 1 else []
-        moved_any, quiet = False, 0
-        for p in range(passes):
-            tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            link = lookup_join(inner.select(F.col("dst").alias("v"), F.col("src").alias("idx"), "weight"), state.select("idx", "c"), "idx", hot)
-            link = link.groupBy("v", "c").agg(F.sum("weight").alias("w"))
+        loop = Loop(ws, f"move{level}-")
+        state, seen = loop.save(k.select("idx", "k", F.col("idx").alias("c")), n=F.count(F.lit(1)))
+        now = Graph(state, e, symmetric=True, _n=seen["n"])
+        inner = Spread(ws, f"inner{level}", e.where("src <> dst"), now.hot)
+        moved, top, stall, parts, before = [], float("-inf"), 0, 2, float("-inf")
+        while True:
+            tot = state.groupBy("c").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
+            hot = None if now.hot is None else hot_keys(tot := ws.save(tot, f"tot{level}-{len(moved)}"), "c", "size", now.n)
+            tot = tot.select("c", "tot")
+            link = inner.meet(state.select("idx", "c")).groupBy(F.col("dst").alias("v"), "c").agg(F.sum("weight").alias("w"))
             own = state.select(F.col("idx").alias("v"), "k", F.col("c").alias("home"))
-            x = link.join(own, "v").join(tot, "c")
-            rest = F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(0.0)
-            gain = F.col("w") - F.col("k") * rest / m2
-            best = x.withColumn("gain", gain).groupBy("v").agg(F.max(F.struct(F.round("gain", 10).alias("gain"), (-F.col("c")).alias("nc"))).alias("b"), F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))).alias("stay"))
+            x = lookup_join(lookup_join(link, own, "v", now.hot), tot, "c", hot)
+            at_home = F.col("c") == F.col("home")
+            gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0)) / m2
+            best = x.withColumn("gain", gain).groupBy("v").agg(F.max(F.struct(F.round("gain", 10).alias("gain"), (-F.col("c")).alias("nc"))).alias("b"), F.max(F.when(at_home, F.struct("gain", "w"))).alias("stay"))
             best = best.select(F.col("v").alias("idx"), (-F.col("b.nc")).alias("to"), F.col("b.gain").alias("gain"), "stay")
-            nxt = state.join(best, "idx", "left").join(tot, "c")
+            nxt = lookup_join(state.join(F.broadcast(best) if now.hot is None else best, "idx", "left"), tot, "c", hot)
             alone = -F.col("k") * (F.col("tot") - F.col("k")) / m2
-            turn = F.pmod(F.xxhash64("idx", F.lit(seed * 1000 + level * 50 + p)), F.lit(2)) == 0
-            go = turn & F.col("to").isNotNull() & (F.col("gain") > F.coalesce("stay", alone) + 1e-9)
-            nxt = nxt.select("idx", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("go"))
-            state, seen = loop.save(nxt, moved=F.count_if("go"))
-            state = state.drop("go")
-            moved_any |= seen["moved"] > 0
-            quiet = 0 if seen["moved"] else quiet + 1
-            if quiet == 2:  # neither half moved
+            of = 1 if moved and moved[-1] * 50 < now.n and not stall else parts
+            turn = F.pmod(F.xxhash64("idx", F.lit(seed * 1_000_000 + passes)), F.lit(of)) == 0
+            go = turn & F.col("to").isNotNull() & (F.col("gain") > F.coalesce("stay.gain", alone) + 1e-9)
+            # two sums give the modularity before the pass: weight within communities, and k * tot over the vertices
+            nxt = nxt.select("idx", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("go"), F.coalesce("stay.w", F.lit(0.0)).alias("within"), (F.col("k") * F.col("tot")).alias("square"))
+            state, seen = loop.save(nxt, moved=F.count_if("go"), within=F.sum("within"), square=F.sum("square"))
+            state = state.select("idx", "k", "c")
+            moved.append(seen["moved"])
+            score = seen["within"] / m2 - seen["square"] / m2 / m2
+            passes += 1
+            if passes > max_passes:
+                raise RuntimeError(f"modularity still rises after {max_passes} passes")
+            if score < before - tol:
+                parts = min(16, 2 * parts)
+            top, stall, before = max(top, score), 0 if score > top + tol else stall + 1, score
+            if moved[-1] == 0 and of == 1 or stall >= 4:
                 break
-        if not moved_any:
+        if not any(moved):
             break
-        final = ws.save(final.join(state.select(F.col("idx").alias("community"), "c"), "community", "left").select("idx", F.coalesce("c", "community").alias("community")), f"final{level}")
+        at = final.select("idx", F.col("community").alias("at"))
+        hot = None if now.hot is None else hot_keys(at.groupBy("at").count(), "at", "count", g.n)
+        final = lookup_join(at, state.select(F.col("idx").alias("at"), "c"), "at", hot, "left").select("idx", F.coalesce("c", "at").alias("community"))
+        final = ws.save(final, f"final{level}")
         name = state.select("idx", "c")
-        e = lookup_join(e.withColumnRenamed("src", "idx"), name, "idx", hot).select(F.col("c").alias("src"), "dst", "weight")
-        e = lookup_join(e, name.select(F.col("idx").alias("dst"), "c"), "dst", hot).groupBy("src", F.col("c").alias("dst")).agg(F.sum("weight").alias("weight"))
+        e = inner.meet(name).select(F.col("c").alias("src"), "dst", "weight").unionAll(lookup_join(e.where("src = dst").withColumnRenamed("src", "idx"), name, "idx", now.hot).select(F.col("c").alias("src"), "dst", "weight"))
+        e = lookup_join(e, name.select(F.col("idx").alias("dst"), "c"), "dst", now.hot).groupBy("src", F.col("c").alias("dst")).agg(F.sum("weight").alias("weight"))
         e = ws.save(e, f"edges{level}")
     return final
 

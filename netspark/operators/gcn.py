@@ -23,7 +23,7 @@ def normalised_adjacency(g: Graph) -> DataFrame:
     return lookup_join(a, rd.withColumnRenamed("r", "b"), "dst", g.hot).select("src", "dst", (F.col("weight") * F.col("a") * F.col("b")).alias("weight"))
 
 
-def _spmm(adj: DataFrame, h: DataFrame, dims: int, hot: list) -> DataFrame:
+def _spmm(adj: DataFrame, h: DataFrame, dims: int, hot: list | None) -> DataFrame:
     """adj @ H for H = (idx, h array): one join and one aggregate of ``dims`` sums."""
     e = lookup_join(adj, h.withColumnRenamed("idx", "src"), "src", hot)
     sums = e.groupBy(F.col("dst").alias("idx")).agg(*[F.sum(F.col("weight") * F.col("h")[i]).alias(f"h{i}") for i in range(dims)])
@@ -61,8 +61,8 @@ def gcn(g: Graph, features: DataFrame | None = None, hidden: int = 64, out: int
         width = len(features.first().h)
     w1 = rng.standard_normal((width, hidden)) * np.sqrt(2.0 / (width + hidden))
     w2 = rng.standard_normal((hidden, out)) * np.sqrt(2.0 / (hidden + out))
-    h = ws.save(_dense(_spmm(adj, features, width, g.hot), w1, True), "h1")
+    h = ws.save(_dense(_spmm(adj, features, width, g.hot_within(16 * width)), w1, True), "h1")
     # A (H W2) = (A H) W2, and H W2 is the narrower table to shuffle
-    h = _spmm(adj, _dense(h, w2, False), out, g.hot)
+    h = _spmm(adj, _dense(h, w2, False), out, g.hot_within(16 * out))
     size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x))
     return h.withColumn("len", size).select("idx", F.transform("h", lambda x: x / F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))).alias("emb"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netspark.functions.clean import usable
-from netspark.operators.lookup import hot_keys
+from netspark.operators.lookup import SMALL_BYTES, hot_keys
+from netspark.workspace import Workspace
 
 
 @dataclass
@@ -28,12 +29,52 @@ class Graph:
         return self._n
 
     @property
-    def hot(self) -> list:
+    def hot_list(self) -> list:
         """Sources that hold a large share of the edges: a bounded list."""
         if self._hot is None:
             self._hot = hot_keys(self.edges.groupBy("src").count(), "src", "count", self.edges.count())
         return self._hot
 
+    def hot_within(self, row_bytes: int) -> list | None:
+        """For ``lookup_join``: None if a row a vertex of so many bytes is small, else the hot sources."""
+        return None if self.n * row_bytes <= SMALL_BYTES else self.hot_list
+
+    @property
+    def hot(self) -> list | None:
+        """``hot_within`` for a few numbers a vertex."""
+        return self.hot_within(64)
+
+
+class Spread:
+    """Edges kept for many joins with vectors of their sources, without moving the edges again.
+
+    A small vector is broadcast. For larger ones the edges lie bucketed by their
+    source, so that only the vector moves; edges of hot sources lie apart and meet
+    a broadcast of the vector's rows for those.
+    """
+
+    def __init__(self, ws: Workspace, name: str, edges: DataFrame, hot: list | None):
+        self.hot = hot
+        if hot is None:
+            self.cold, self.apart = ws.save(edges, name), None
+            return
+        buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        is_hot = F.col("src").isin(hot)
+        self.cold = ws.save_bucketed(edges.where(~is_hot), name, "src", buckets)
+        self.apart = ws.save(edges.where(is_hot), f"{name}-hot") if hot else None
+
+    def meet(self, vec: DataFrame, small: bool | None = None) -> DataFrame:
+        """The edges with the columns of ``vec`` (``idx``, ...) for their source; ``small``: the
+        caller counted that ``vec`` may be broadcast (by default as given by ``hot``)."""
+        v = vec.withColumnRenamed("idx", "src")
+        if self.hot is None and small is not False or small:
+            out = self.cold.join(F.broadcast(v), "src")
+            return out if self.apart is None else out.unionByName(self.apart.join(F.broadcast(v), "src"))
+        if self.apart is None:
+            return self.cold.join(v, "src")
+        is_hot = F.col("src").isin(self.hot)
+        return self.cold.join(v.where(~is_hot), "src").unionByName(self.apart.join(F.broadcast(v.where(is_hot)), "src"))
+
 
 def clean_edges(raw: DataFrame, version: tuple[str, ...] = ("computed_at", "loaded_at")) -> DataFrame:
     """(src, dst, weight), src < dst: the last usable weight of every unordered pair.

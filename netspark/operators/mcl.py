@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netspark.functions.clean import guard0
 from netspark.operators.graph import Graph
 from netspark.operators.iterate import Loop
-from netspark.operators.linalg import normalise, spgemm
+from netspark.operators.linalg import normalise, spgemm, sums_by
+from netspark.operators.lookup import lookup_join
 from netspark.workspace import Workspace
 
 
@@ -15,26 +17,37 @@ def mcl_start(g: Graph) -> DataFrame:
     """The column-stochastic matrix of the graph with a self-loop of 1 added to every vertex."""
     loops = g.vertices.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(1.0).alias("val"))
     m = g.edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("val")).unionAll(loops)
-    return normalise(m.groupBy("row", "col").agg(F.sum("val").alias("val")), "col")
+    m = Workspace(g.edges.sparkSession, "mcl").save(m.groupBy("row", "col").agg(F.sum("val").alias("val")), "looped")
+    return normalise(m, "col")
 
 
-def mcl_step(m: DataFrame, expansion: int = 2, inflation: float = 2.0, prune: float = 1e-4) -> DataFrame:
-    """Expand by the true matrix power, inflate, normalise, prune below ``prune``, normalise."""
+def mcl_step(m: DataFrame, expansion: int = 2, inflation: float = 2.0, prune: float = 1e-4, ws: Workspace | None = None) -> DataFrame:
+    """Expand by the true matrix power, inflate, normalise, prune below ``prune``, normalise.
+
+    The inflated power is written once; both column sums come from scans of it. A
+    matrix that is used several times must be a written table.
+    """
+    ws = ws or Workspace(m.sparkSession, "mcl")
     x = m
-    for _ in range(expansion - 1):
-        x = spgemm(x, m)
-    x = normalise(x.withColumn("val", F.pow("val", F.lit(float(inflation)))), "col")
-    return normalise(x.where(F.col("val") >= prune), "col")
+    for i in range(expansion - 1):
+        x = ws.save(spgemm(x, m).withColumn("val", F.pow("val", F.lit(float(inflation)))) if i == expansion - 2 else spgemm(x, m), f"power{i}")
+    if expansion == 1:
+        x = x.withColumn("val", F.pow("val", F.lit(float(inflation))))
+    s, hot = sums_by(x, "col")
+    kept = lookup_join(x, s, "col", hot).withColumn("val", F.col("val") / guard0(F.col("s"))).where(F.col("val") >= prune).select("row", "col", "val")
+    left, hot = sums_by(kept, "col")
+    return lookup_join(kept, left, "col", hot).select("row", "col", (F.col("val") / guard0(F.col("s"))).alias("val"))
 
 
 def mcl(g: Graph, expansion: int = 2, inflation: float = 2.0, prune: float = 1e-4, max_iter: int = 100, tol: float | None = 1e-5) -> DataFrame:
     """The limit matrix over all vertices. To bound the fill-in of the powers, pass a
     ``top_subgraph``, and its vertices to ``mcl_clusters``."""
-    loop = Loop(Workspace(g.edges.sparkSession, "mcl"), "m")
+    ws = Workspace(g.edges.sparkSession, "mcl")
+    loop = Loop(ws, "m")
     m, _ = loop.save(mcl_start(g))
     for _ in range(max_iter):
         old = m
-        m, _ = loop.save(mcl_step(m, expansion, inflation, prune))
+        m, _ = loop.save(mcl_step(m, expansion, inflation, prune, ws))
         if tol is not None:
             gap = m.join(old.withColumnRenamed("val", "was"), ["row", "col"], "full").agg(F.max(F.abs(F.coalesce("val", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
             if gap is None or gap < tol:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark.operators.graph import Graph, degrees
+from netspark.operators.lookup import lookup_join
+from netspark.workspace import Workspace
 
 
 def triangles(g: Graph, weighted: bool = True) -> DataFrame:
@@ -16,9 +18,12 @@ def triangles(g: Graph, weighted: bool = True) -> DataFrame:
     of candidate wedges stays within E * sqrt(E).
     """
     w = F.col("weight") if weighted else F.lit(1.0)
-    d = degrees(g).select("idx", F.struct("degree", "idx").alias("k"))
+    ws = Workspace(g.edges.sparkSession, "motif")
+    d = ws.save(degrees(g).select("idx", F.struct("degree", "idx").alias("k")), "degrees")
     e = g.edges.where("src <> dst").select("src", "dst", w.alias("w"))
-    e = e.join(d.select(F.col("idx").alias("src"), F.col("k").alias("ks")), "src").join(d.select(F.col("idx").alias("dst"), F.col("k").alias("kd")), "dst").where("ks < kd").select("src", "dst", "kd", "w")
+    e = lookup_join(e, d.select(F.col("idx").alias("src"), F.col("k").alias("ks")), "src", g.hot)
+    e = lookup_join(e, d.select(F.col("idx").alias("dst"), F.col("k").alias("kd")), "dst", g.hot)  # symmetric: the same vertices are hot
+    e = ws.save(e.where("ks < kd").select("src", "dst", "kd", "w"), "oriented")
     a = e.select("src", F.col("dst").alias("b"), F.col("kd").alias("kb"), F.col("w").alias("wb"))
     c = e.select("src", F.col("dst").alias("c"), F.col("kd").alias("kc"), F.col("w").alias("wc"))
     wedge = a.join(c, "src").where("kb < kc").select("src", "b", "c", (F.col("wb") * F.col("wc")).alias("p"))

@@ -6,24 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark.functions.clean import guard0
-from netspark.operators.graph import Graph
+from netspark.operators.graph import Graph, Spread
 from netspark.operators.iterate import Loop
-from netspark.operators.linalg import spmv
 from netspark.operators.lookup import lookup_join
 from netspark.workspace import Workspace
 
 
+def _stepped(told: DataFrame, state: DataFrame, *keep: str) -> DataFrame:
+    """(idx, y, ``keep``...): what every vertex of ``state`` is told, summed, beside its state.
+
+    One aggregate over both instead of a join back: vertices that nobody tells anything have y = 0.
+    """
+    nothing = [F.lit(None).cast(state.schema[c].dataType).alias(c) for c in keep]
+    both = told.select("idx", "y", F.lit(False).alias("own"), *nothing).unionAll(state.select("idx", F.lit(0.0).alias("y"), F.lit(True).alias("own"), *keep))
+    return both.groupBy("idx").agg(F.sum("y").alias("y"), F.max("own").alias("own"), *[F.max(c).alias(c) for c in keep]).where("own").drop("own")
+
+
+def _told(edges: Spread, x: DataFrame, value: str = "x") -> DataFrame:
+    return edges.meet(x.select("idx", F.col(value).alias("v"))).select(F.col("dst").alias("idx"), (F.col("weight") * F.col("v")).alias("y"))
+
+
 def pagerank(g: Graph, damping: float = 0.85, tol: float | None = 1e-6, max_iter: int = 100, *, compat: bool = False) -> DataFrame:
     """(idx, x): weight-proportional PageRank; stops when the L1 change is below ``tol``.
 
     Dangling vertices (no out-weight) spread their mass evenly. ``compat`` also
     counts vertices whose out-weight is exactly 1 as dangling. ``tol=None`` runs
-    ``max_iter`` steps. No vertices give an empty result.
+    ``max_iter`` steps. No vertices give an empty result. A step moves partial sums
+    by vertex and the state; the edges stay where they are (``Spread``).
     """
     n = g.n
     ws = Workspace(g.edges.sparkSession, "pagerank")
-    out = g.edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    p = ws.save(_divided(g, out), "transitions")
+    out = ws.save(g.edges.groupBy("src").agg(F.sum("weight").alias("out")), "out")
+    p = Spread(ws, "transitions", _divided(g, out), g.hot)
     no_out = F.coalesce("out", F.lit(0.0)) == 0
     dangling = (no_out | (F.col("out") == 1.0)) if compat else no_out
     start = g.vertices.join(out.withColumnRenamed("src", "idx"), "idx", "left").select("idx", dangling.alias("dangling"), F.lit(1.0 / max(n, 1)).alias("x"))
@@ -31,8 +45,8 @@ def pagerank(g: Graph, damping: float = 0.85, tol: float | None = 1e-6, max_iter
     loose = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0))
     x, seen = loop.save(start.withColumn("d", F.lit(0.0)), loose=loose)
     for _ in range(max_iter):
-        new = F.lit(damping) * F.coalesce("y", F.lit(0.0)) + F.lit((1 - damping) / max(n, 1) + damping * seen["loose"] / max(n, 1))
-        nxt = x.join(spmv(p, x, g.hot), "idx", "left").select("idx", "dangling", new.alias("x"), F.abs(new - F.col("x")).alias("d"))
+        new = F.lit(damping) * F.col("y") + F.lit((1 - damping) / max(n, 1) + damping * seen["loose"] / max(n, 1))
+        nxt = _stepped(_told(p, x), x, "dangling", "x").select("idx", "dangling", new.alias("x"), F.abs(new - F.col("x")).alias("d"))
         x, seen = loop.save(nxt, loose=loose, change=F.coalesce(F.sum("d"), F.lit(0.0)))
         if tol is not None and seen["change"] < tol:
             break
@@ -55,16 +69,15 @@ def rwr(g: Graph, seeds: list[int], restart: float = 0.15, tol: float | None = 1
     if not seeds:
         raise ValueError("no seeds")
     ws = Workspace(g.edges.sparkSession, "rwr")
-    total = g.edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    w = ws.save(_divided(g, total), "transitions")
+    out = ws.save(g.edges.groupBy("src").agg(F.sum("weight").alias("out")), "out")
+    w = Spread(ws, "transitions", _divided(g, out), g.hot)
     start = g.vertices.select("idx", F.when(F.col("idx").isin(seeds), F.lit(1.0 / len(seeds))).otherwise(0.0).alias("p0"))
     loop = Loop(ws, "x")
     x, _ = loop.save(start.withColumn("x", F.col("p0")))
     for _ in range(max_iter):
-        new = (1 - restart) * F.coalesce("y", F.lit(0.0)) + restart * F.col("p0")
-        nxt = x.join(spmv(w, x, g.hot), "idx", "left").select("idx", "p0", new.alias("x"), F.abs(new - F.col("x")).alias("d"))
+        new = (1 - restart) * F.col("y") + restart * F.col("p0")
+        nxt = _stepped(_told(w, x), x, "p0", "x").select("idx", "p0", new.alias("x"), F.abs(new - F.col("x")).alias("d"))
         x, seen = loop.save(nxt, change=F.coalesce(F.sum("d"), F.lit(0.0)))
-        x = x.drop("d")
         if tol is not None and seen["change"] < tol:
             break
     return x.select("idx", "x")
@@ -74,13 +87,15 @@ def rwr_each(g: Graph, seeds: list[int], restart: float = 0.15, steps: int = 20)
     """(seed, idx, x): one walk per seed, all in one state table keyed by (seed, idx)."""
     ws = Workspace(g.edges.sparkSession, "rwr")
     kind = g.vertices.schema["idx"].dataType
-    w = ws.save(_divided(g, g.edges.groupBy("src").agg(F.sum("weight").alias("out"))).withColumnRenamed("src", "idx"), "transitions")
+    seeds = list(dict.fromkeys(seeds))
+    out = ws.save(g.edges.groupBy("src").agg(F.sum("weight").alias("out")), "out")
+    w = Spread(ws, "transitions", _divided(g, out), g.hot_within(64 * len(seeds)))
     loop = Loop(ws, "x")
-    listed = F.explode(F.array(*[F.lit(s).cast(kind) for s in dict.fromkeys(seeds)]))
+    listed = F.explode(F.array(*[F.lit(s).cast(kind) for s in seeds]))
     x, _ = loop.save(g.vertices.select("idx", listed.alias("seed")).where("idx = seed").select("seed", "idx", F.lit(1.0).alias("x")))
     home = ws.save(x.select("seed", "idx", F.lit(float(restart)).alias("x")), "home")
     for _ in range(steps):
-        moved = x.join(w, "idx").select("seed", F.col("dst").alias("idx"), ((1 - restart) * F.col("x") * F.col("weight")).alias("x"))
+        moved = w.meet(x).select("seed", F.col("dst").alias("idx"), ((1 - restart) * F.col("x") * F.col("weight")).alias("x"))
         x, _ = loop.save(moved.unionAll(home).groupBy("seed", "idx").agg(F.sum("x").alias("x")))
     return x
 
@@ -92,20 +107,22 @@ def hits(g: Graph, tol: float | None = 1e-6, max_iter: int = 100) -> DataFrame:
     norm 0 is not scaled.
     """
     ws = Workspace(g.edges.sparkSession, "hits")
-    back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    flip = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    forth = Spread(ws, "forth", g.edges.select("src", "dst", "weight"), g.hot)
+    back = Spread(ws, "back", flip, Graph(g.vertices, flip, _n=g.n).hot)
     loop = Loop(ws, "x")
-    x, _ = loop.save(g.vertices.select("idx", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"), F.lit(0.0).alias("d")))
+    norm = F.coalesce(F.sum(F.col("raw") * F.col("raw")), F.lit(0.0))
+    x, _ = loop.save(g.vertices.select("idx", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"), F.lit(2.0).alias("was")))
+    gap = float("inf")
     for _ in range(max_iter):
-        a = x.join(spmv(g.edges, x, g.hot, x="hub"), "idx", "left").select("idx", "hub", F.col("authority").alias("old"), F.coalesce("y", F.lit(0.0)).alias("raw"))
-        a, seen = loop.save(a, square=F.sum(F.col("raw") * F.col("raw")))
-        a = a.withColumn("authority", F.col("raw") / ((seen["square"] or 0.0) ** 0.5 or 1.0))
-        h = a.join(spmv(back, a, x="authority"), "idx", "left").select("idx", F.col("hub").alias("was"), "authority", F.abs(F.col("authority") - F.col("old")).alias("d"), F.coalesce("y", F.lit(0.0)).alias("raw"))
-        h, seen = loop.save(h, square=F.sum(F.col("raw") * F.col("raw")), change=F.max("d"))
-        size = (seen["square"] or 0.0) ** 0.5 or 1.0
-        x = h.select("idx", (F.col("raw") / size).alias("hub"), "authority", "d", "was")
-        if tol is not None:
-            change = x.agg(F.max(F.abs(F.col("hub") - F.col("was")))).first()[0] or 0.0
-            if max(change, seen["change"] or 0.0) < tol:
-                break
-        x = x.drop("was")
+        a = _stepped(_told(forth, x, "hub"), x, "hub", "authority", "was").withColumnRenamed("y", "raw")
+        a, seen = loop.save(a, square=norm, moved=F.max(F.abs(F.col("hub") - F.col("was"))))
+        if tol is not None and max(gap, seen["moved"] or 0.0) < tol:
+            break  # the step before changed nothing; this half step is not taken
+        new = F.col("raw") / (seen["square"] ** 0.5 or 1.0)
+        a = a.select("idx", F.col("hub").alias("was"), new.alias("authority"), F.abs(new - F.col("authority")).alias("d"))
+        h = _stepped(_told(back, a, "authority"), a, "was", "authority", "d").withColumnRenamed("y", "raw")
+        h, seen = loop.save(h, square=norm, change=F.coalesce(F.max("d"), F.lit(0.0)))
+        gap = seen["change"]
+        x = h.select("idx", (F.col("raw") / (seen["square"] ** 0.5 or 1.0)).alias("hub"), "authority", "was")
     return x.select("idx", "hub", "authority")

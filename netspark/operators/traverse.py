@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from netspark.operators.graph import Graph
+from netspark.operators.graph import Graph, Spread
+from netspark.operators.lookup import SMALL_BYTES
 from netspark.workspace import Workspace
 
+
 def random_sources(n: int, k: int = 10, seed: int = 42) -> list[int]:
     """``k`` distinct vertices of 0..n-1, the same for a seed."""
     return [int(x) for x in np.random.default_rng(seed).choice(n, min(k, n), replace=False)]
@@ -17,9 +21,10 @@ def random_sources(n: int, k: int = 10, seed: int = 42) -> list[int]:
 def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int | None = None) -> DataFrame:
     """(source, idx, dist) for every source and vertex; -1 is unreachable. Weights do not matter.
 
-    One frontier for all sources: a level is one join with the edges, in which hot
-    vertices are broadcast, and one anti-join with the levels before: the last two
-    suffice in a symmetric graph. ``direction`` 'in' follows
+    One frontier for all sources: a level is one join with the edges and one
+    anti-join with the levels before, of which the last two suffice in a symmetric
+    graph. A frontier that was counted as small is broadcast; a larger one is shuffled
+    to the edges, which stay where they are (``Spread``). ``direction`` 'in' follows
     edges backwards. Sources that are no vertices reach nothing and have no row of
     distance 0. Levels end when the frontier is empty.
     """
@@ -27,30 +32,24 @@ def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int
     ws = Workspace(spark, "bfs")
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
     kind = g.vertices.schema["idx"].dataType
-    step = g.edges.select(F.col(a).alias("idx"), F.col(b).alias("to"))
-    hot = g.hot if direction == "out" or g.symmetric else []
+    ends = g.edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    step = Spread(ws, "ends", ends, Graph(g.vertices, ends, _n=g.n).hot_within(64 * len(set(sources))))
     key = ["source", "idx"]
-
-    def onward(front: DataFrame, known: DataFrame) -> DataFrame:
-        if hot:
-            is_hot = F.col("idx").isin(hot)
-            near = front.where(~is_hot).join(step.where(~is_hot), "idx").unionAll(F.broadcast(front.where(is_hot)).join(step.where(is_hot), "idx"))
-        else:
-            near = front.join(step, "idx")
-        return near.select("source", F.col("to").alias("idx")).distinct().join(known, key, "left_anti")
-
     start = spark.createDataFrame([(int(s),) for s in dict.fromkeys(sources)], "source long").select(F.col("source").cast(kind).alias("source"), F.col("source").cast(kind).alias("idx"))
     saved = [ws.save(start.join(g.vertices, "idx", "left_semi").select("source", "idx", F.lit(0).alias("dist")), "part0000")]
-    level, size = 0, saved[0].count()
-    while size and (max_levels is None or level < max_levels):
+    sizes = [saved[0].count()]
+    level = 0
+    while sizes[-1] and (max_levels is None or level < max_levels):
         level += 1
-        front, known = saved[-1].select(*key), saved[-1].select(*key)
-        for x in saved[-2:-1] if g.symmetric else saved[:-1]:
-            known = known.unionAll(x.select(*key))
+        last = slice(-2, None) if g.symmetric else slice(None)
+        known = reduce(DataFrame.unionAll, saved[last]).select(*key)
+        if sum(sizes[last]) * 64 <= SMALL_BYTES:
+            known = F.broadcast(known)
+        near = step.meet(saved[-1].select(*key), small=sizes[-1] * 64 <= SMALL_BYTES)
         o = Observation()
-        found = onward(front, known).select(*key, F.lit(level).alias("dist")).observe(o, F.count(F.lit(1)).alias("n"))
+        found = near.select("source", F.col("dst").alias("idx")).join(known, key, "left_anti").distinct().select(*key, F.lit(level).alias("dist")).observe(o, F.count(F.lit(1)).alias("n"))
         saved.append(ws.save(found, f"part{level:04d}"))
-        size = o.get["n"]
+        sizes.append(o.get["n"])
     seen = spark.read.schema(saved[0].schema).parquet(f"{ws.path}/part*")
     listed = F.array(*[F.lit(int(s)).cast(kind) for s in dict.fromkeys(sources)])
     grid = g.vertices.select("idx", F.explode(listed).alias("source"))  # the result's own size
@@ -65,5 +64,3 @@ def bfs_wide(dist: DataFrame, sources: list[int]) -> DataFrame:
 def reachable(dist: DataFrame) -> DataFrame:
     """(source, n): vertices within reach."""
     return dist.groupBy("source").agg(F.count_if(F.col("dist") >= 0).alias("n"))
-
-

@@ -39,6 +39,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str = "job"):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self._tables: dict[str, str] = {}
         _MADE.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def at(self, name: str) -> str:
@@ -49,10 +50,20 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As ``save``, in ``buckets`` hash buckets of ``key``: joins on the key then need no exchange of this side."""
+        table = f"netspark_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).sortWithinPartitions(key).write.format("parquet").bucketBy(buckets, key).option("path", self.at(name)).saveAsTable(table)
+        self._tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads; without names, the whole folder."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
+        for n in names or list(self._tables):
+            if n in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(n)}")  # the catalogue's entry; the files go below
         for target in [self.at(n) for n in names] or [self.path]:
             p = jvm.org.apache.hadoop.fs.Path(target)
             p.getFileSystem(conf).delete(p, True)

@@ -201,7 +201,7 @@ def test_mcl_clusters_every_vertex_of_a_larger_graph(spark):
 
 def test_louvain_and_modularity(spark):
     g = make(spark, [(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1), (2, 3, 0.1)], 7)
-    c = values(community.louvain(g, levels=2, passes=12), "idx", "community")
+    c = values(community.louvain(g), "idx", "community")
     assert c[0] == c[1] == c[2] != c[3] == c[4] == c[5] and c[6] == 6
     q = community.modularity(g, g.vertices.select("idx", F.expr("if(idx < 3, 0, if(idx < 6, 1, 2))").alias("community"))).first()
     assert q.communities == 3 and q.modularity == pytest.approx(6 / 6.1 - 0.5)
@@ -222,6 +222,21 @@ def test_top_subgraph_keeps_labels(spark):
 def test_linalg(spark):
     m = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0), (1, 1, 1.0)], "row int, col int, val double")
     assert {(r.row, r.col): r.val for r in linalg.spgemm(m, m).collect()} == {(0, 0): 6.0, (0, 1): 2.0, (1, 0): 3.0, (1, 1): 7.0}
+    rng = np.random.default_rng(1)
+    x = (rng.random((60, 60)) < 0.4) * rng.standard_normal((60, 60))
+    x[:, 7] = 1.0  # a heavy inner index
+    x[7] = 1.0
+    i, j = np.nonzero(x)
+    m = spark.createDataFrame([(int(a) * 3, int(b) * 3, float(x[a, b])) for a, b in zip(i, j)], "row int, col int, val double")
+    for products in (10, 500, 1 << 22):  # blocks, split and plain joins
+        got = np.zeros((60, 60))
+        for r in linalg.spgemm(m, m, products).collect():
+            got[r.row // 3, r.col // 3] = r.val
+        assert got == pytest.approx(x @ x)
+    got = np.zeros((60, 60))
+    for r in linalg._by_blocks(m.selectExpr("row", "col k", "val va"), m.selectExpr("row k", "col", "val vb"), 60, 60, 16).collect():
+        got[r.row // 3, r.col // 3] += r.val
+    assert got == pytest.approx(x @ x)
     zero = spark.createDataFrame([(0, 0, 0.0)], "row int, col int, val double")
     assert linalg.normalise(zero, "row").first().val == 0.0
 
@@ -272,7 +287,7 @@ def test_half_of_a_wide_gene_axis(spark, tmp_path):
 
 def test_best_of_restarts(spark):
     g = two_triangles(spark)
-    best = community.best_louvain(g, restarts=2, levels=1, passes=10)
+    best = community.best_louvain(g, restarts=2)
     assert community.modularity(g, best).first().modularity == pytest.approx(0.5)
 
 
