@@ -22,15 +22,15 @@ def modularity(g: Graph, parts: DataFrame) -> DataFrame:
     return one.select("communities", F.coalesce(F.col("inside") / F.nullif("m2", F.lit(0.0)) - F.col("kk") / F.nullif(F.col("m2") * F.col("m2"), F.lit(0.0)), F.lit(0.0)).alias("modularity"))
 
 
-def louvain(g: Graph, *, tol: float = 1e-7, seed: int = 0, max_passes: int = 1000) -> DataFrame:
+def louvain(g: Graph, *, tol: float = 1e-6, seed: int = 0, max_passes: int = 1000) -> DataFrame:
     """(idx, community) by parallel local moving and aggregation, after Blondel et al.
 
     In a pass a hashed part of the vertices may move, each to the neighbouring
     community of greatest modularity gain (ties to the smaller community), so two
     vertices seldom swap places. The part is a half, less after a pass that lowered the
-    modularity, and all of them once few still move. A level ends when a pass in
-    which all may move moves nothing, or when the modularity has not risen by ``tol``
-    for four passes; communities then become the vertices of the next level, with
+    modularity, and all of them after one that moved nothing. A level ends when a pass
+    in which all may move moves nothing, or when two passes each raised the modularity
+    by less than a fiftieth of what the level has gained, or ``tol``; communities then become the vertices of the next level, with
     their inner weight as loops. The levels end when one moves nothing.
     ``max_passes`` is a guard: reaching it is an error, not a result.
 
@@ -52,7 +52,7 @@ def louvain(g: Graph, *, tol: float = 1e-7, seed: int = 0, max_passes: int = 100
         state, seen = loop.save(k.select("idx", "k", F.col("idx").alias("c")), n=F.count(F.lit(1)))
         now = Graph(state, e, symmetric=True, _n=seen["n"])
         inner = Spread(ws, f"inner{level}", e.where("src <> dst"), now.hot)
-        moved, top, stall, parts, before = [], float("-inf"), 0, 2, float("-inf")
+        moved, scores, stall, parts = [], [], 0, 2
         while True:
             tot = state.groupBy("c").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
             hot = None if now.hot is None else hot_keys(tot := ws.save(tot, f"tot{level}-{len(moved)}"), "c", "size", now.n)
@@ -66,7 +66,7 @@ def louvain(g: Graph, *, tol: float = 1e-7, seed: int = 0, max_passes: int = 100
             best = best.select(F.col("v").alias("idx"), (-F.col("b.nc")).alias("to"), F.col("b.gain").alias("gain"), "stay")
             nxt = lookup_join(state.join(F.broadcast(best) if now.hot is None else best, "idx", "left"), tot, "c", hot)
             alone = -F.col("k") * (F.col("tot") - F.col("k")) / m2
-            of = 1 if moved and moved[-1] * 50 < now.n and not stall else parts
+            of = 1 if moved and moved[-1] == 0 else parts
             turn = F.pmod(F.xxhash64("idx", F.lit(seed * 1_000_000 + passes)), F.lit(of)) == 0
             go = turn & F.col("to").isNotNull() & (F.col("gain") > F.coalesce("stay.gain", alone) + 1e-9)
             # two sums give the modularity before the pass: weight within communities, and k * tot over the vertices
@@ -74,14 +74,16 @@ def louvain(g: Graph, *, tol: float = 1e-7, seed: int = 0, max_passes: int = 100
             state, seen = loop.save(nxt, moved=F.count_if("go"), within=F.sum("within"), square=F.sum("square"))
             state = state.select("idx", "k", "c")
             moved.append(seen["moved"])
-            score = seen["within"] / m2 - seen["square"] / m2 / m2
+            scores.append(seen["within"] / m2 - seen["square"] / m2 / m2)
+            rise = scores[-1] - scores[-2] if len(scores) > 1 else 1.0
+            if rise < -tol and parts < 8:  # too many moved at once
+                parts *= 2
+            else:
+                stall = stall + 1 if rise < max(tol, (max(scores) - scores[0]) / 50) else 0
             passes += 1
             if passes > max_passes:
                 raise RuntimeError(f"modularity still rises after {max_passes} passes")
-            if score < before - tol:
-                parts = min(16, 2 * parts)
-            top, stall, before = max(top, score), 0 if score > top + tol else stall + 1, score
-            if moved[-1] == 0 and of == 1 or stall >= 4:
+            if moved[-1] == 0 and of == 1 or stall >= 2:
                 break
         if not any(moved):
             break
