@@ -33,18 +33,33 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _labels(kind: T.DataType):
     """Label of an identifier in the hashed order, and the identifier of a label.
 
-    A 32-bit identifier becomes a long with hashed upper and its own lower half,
-    any other type its text behind 16 hexadecimal digits of its hash: no two ever
-    share a label.
+    A 32-bit identifier becomes a long with hashed upper and its own lower half; a
+    64-bit one goes through three Feistel rounds, which permute the longs; any other
+    type is its text behind 16 hexadecimal digits of its hash. No two share a label.
     """
+    low = F.lit(0xFFFFFFFF)
+
+    def half(c: Column) -> Column:  # the lower 32 bits as a signed integer
+        return F.shiftright(F.shiftleft(c, 32), 32).cast("int")
+
+    def joined(high: Column, lower: Column) -> Column:
+        return F.shiftleft(high.cast("long"), 32).bitwiseOR(lower.cast("long").bitwiseAND(low))
+
     if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
-        low = F.lit(0xFFFFFFFF)
+        return (lambda c: joined(F.hash(c), c)), (lambda c: half(c).cast(kind))
+    if isinstance(kind, T.LongType):
 
         def name(c: Column) -> Column:
-            return F.shiftleft(F.hash(c).cast("long"), 32).bitwiseOR(c.cast("long").bitwiseAND(low))
+            a, b = F.shiftright(c, 32).cast("int"), half(c)
+            for _ in range(3):
+                a, b = b, a.bitwiseXOR(F.hash(b))
+            return joined(a, b)
 
         def back(c: Column) -> Column:
-            return F.shiftright(F.shiftleft(c, 32), 32).cast(kind)
+            a, b = F.shiftright(c, 32).cast("int"), half(c)
+            for _ in range(3):
+                a, b = b.bitwiseXOR(F.hash(a)), a
+            return joined(a, b)
 
         return name, back
     return (lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), c.cast("string"))), (lambda c: F.substring(c, 17, 1 << 30).cast(kind))
@@ -98,11 +113,13 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", *, ma
             seed = seed.join(layers[i + 1].select("x"), "x", "left_anti")
         done = done.unionAll(seed.select("x", F.col("x").alias("group")))
     done = ws.save(done, "seeds")
+    vertices = layers[0].count()
     for i in range(len(layers) - 1, -1, -1):
         child = layers[i].where("not chosen").select(F.col("x").alias("vertex"), F.col("to").alias("parent"))
         hot = hot_keys(child.groupBy("parent").count(), "parent", "count", layers[i].count())
         named = lookup_join(child, done.select(F.col("vertex").alias("parent"), "group"), "parent", hot)
         done = done.unionAll(ws.save(named.select("vertex", "group"), f"named{i:02d}"))
+        ws.drop(f"node{i + 1:02d}")
     first = ws.save(done.groupBy("group").agg(F.min(back(F.col("vertex"))).alias("least"), F.count(F.lit(1)).alias("n")), "first")
-    hot = hot_keys(first, "group", "n", layers[0].count())
+    hot = hot_keys(first, "group", "n", vertices)
     return lookup_join(done, first.select("group", "least"), "group", hot).select(back(F.col("vertex")).alias("vertex"), F.col("least").alias("group"))

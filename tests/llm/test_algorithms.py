@@ -58,6 +58,17 @@ def test_groups_of_strings_and_longs(spark):
     assert groups(spark, big, "long") == brute_groups(big)
 
 
+def test_labels_of_longs_are_a_permutation(spark):
+    from netspark.llm.components import _labels
+
+    v = [0, 1, -1, 5, 1 << 32, -(1 << 32), 2**63 - 1, -(2**63)] + list(range(1000, 1100))
+    name, back = _labels(spark.createDataFrame([(1,)], "v long").schema["v"].dataType)
+    got = spark.createDataFrame([(x,) for x in v], "v long").select("v", name(F.col("v")).alias("n")).select("v", "n", back(F.col("n")).alias("b")).collect()
+    assert all(r.v == r.b for r in got) and len({r.n for r in got}) == len(v)
+    inner = [r.n for r in got[8:]]
+    assert 30 < sum(a < b for a, b in zip(inner, inner[1:])) < 70  # no trace of the order
+
+
 def test_groups_empty(spark):
     assert groups(spark, []) == {}
     assert groups(spark, [(None, 1)]) == {}
