@@ -66,3 +66,8 @@ def gcn(g: Graph, features: DataFrame | None = None, hidden: int = 64, out: int
     h = _spmm(adj, _dense(h, w2, False), out, g.hot_within(16 * out))
     size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x))
     return h.withColumn("len", size).select("idx", F.transform("h", lambda x: x / F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))).alias("emb"))
+
+
+def wide(embedded: DataFrame, dims: int = 32) -> DataFrame:
+    """(idx, dim_0, ...): one column a dimension."""
+    return embedded.select("idx", *[F.col("emb")[i].alias(f"dim_{i}") for i in range(dims)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,19 @@ def printed(report: DataFrame) -> DataFrame:
     return report.withColumns(text)
 
 
-def timed(make: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
-    """A result and the seconds it took: plans are lazy, so the timer forces one run of it."""
+def own_report(seconds: DataFrame) -> DataFrame:
+    """(algorithm, parallel_time_s): the report where no baseline is given."""
+    return seconds.select("algorithm", F.col("seconds").alias("parallel_time_s")).orderBy("algorithm")
+
+
+def read_seconds(spark: SparkSession, path: str) -> DataFrame:
+    """(algorithm, seconds) of a CSV of two columns, whatever their names."""
+    return spark.read.csv(path, header=True).toDF("algorithm", "seconds").select("algorithm", F.col("seconds").cast("double").alias("seconds"))
+
+
+def timed(make: Callable[[], DataFrame], path: str) -> tuple[DataFrame, float]:
+    """A result written to ``path`` and the seconds it took, the writing included: it is computed once."""
     t = time.perf_counter()
     df = make()
-    df.write.format("noop").mode("overwrite").save()
-    return df, time.perf_counter() - t
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), time.perf_counter() - t

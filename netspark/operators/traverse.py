@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netspark.operators.graph import Graph, Spread
 from netspark.operators.lookup import SMALL_BYTES
+from netspark.sources.counts import nth_smallest
 from netspark.workspace import Workspace
 
 
@@ -18,6 +19,13 @@ def random_sources(n: int, k: int = 10, seed: int = 42) -> list[int]:
     return [int(x) for x in np.random.default_rng(seed).choice(n, min(k, n), replace=False)]
 
 
+def source_vertices(vertices: DataFrame, k: int = 10, seed: int = 42) -> list[int]:
+    """The vertices at ``random_sources`` positions in the order of their indexes, which need not be dense."""
+    n, least, most = vertices.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx")).first()
+    at = random_sources(n, k, seed) if n else []
+    return at if n and (least, most) == (0, n - 1) else [nth_smallest(vertices, "idx", p) for p in at]
+
+
 def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int | None = None) -> DataFrame:
     """(source, idx, dist) for every source and vertex; -1 is unreachable. Weights do not matter.
 

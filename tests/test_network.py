@@ -241,14 +241,14 @@ def test_linalg(spark):
     assert linalg.normalise(zero, "row").first().val == 0.0
 
 
-def test_reports_round_half_even(spark):
+def test_reports_round_half_even(spark, tmp_path):
     s = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "algorithm string, seconds double")
     p = spark.createDataFrame([("a", 0.4), ("c", 1.0)], "algorithm string, seconds double")
     r = values(report.speedup_report(s, p, 8), "algorithm", "speedup_x", "efficiency_pct")
     assert r == {"a": (2.5, 31.2), "b": (None, None), "c": (None, None)}
     text = values(report.printed(report.speedup_report(s, p, 8)), "algorithm", "parallel_time_s", "speedup_x")
     assert text["b"] == ("N/A", "N/A") and text["a"] == ("0.4000", "2.50x")
-    df, secs = report.timed(lambda: s)
+    df, secs = report.timed(lambda: s, str(tmp_path / "s"))
     assert secs > 0 and df.count() == 2
 
 
