@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from netspark.functions.clean import usable
 from netspark.operators.lookup import MAX_HOT
-from netspark.workspace import Workspace
 
 
 def tree_rounds(n_rows: int, chunk_rows: int, fan_in: int) -> int:
@@ -43,7 +42,7 @@ def partner_stats(edges: DataFrame, key: str = "src", partner: str = "dst", weig
     pairs simply add up. The whole-row ``distinct`` and the pair aggregate spread a
     hot key over all tasks; each further round shuffles at most one state per hot
     key and chunk. All other keys need one aggregate, in which a reducer gets one
-    combined state a key and task. ``edges`` is read twice.
+    combined state a key and task. ``edges`` is read three times.
     """
     if n_rows is None:
         n_rows = edges.count()  # from the Parquet footers
@@ -51,22 +50,20 @@ def partner_stats(edges: DataFrame, key: str = "src", partner: str = "dst", weig
     rows = edges.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = [r[0] for r in rows.where(F.col("n") > max(chunk_rows, n_rows / MAX_HOT)).select(key).collect()] if rounds else []
     w = F.when(usable(weight), F.col(weight).cast("double"))
-    state = (
-        edges.distinct()
-        .where(F.col(key).isNotNull() & F.col(partner).isNotNull())
-        .select(F.col(key).alias("k"), F.col(partner).alias("p"), w.alias("w"))
-        .groupBy("k", "p")
-        .agg(F.sum("w").alias("s"), F.min("w").alias("lo"), F.max("w").alias("hi"))
-        .select("k", "p", F.when(F.col("lo").isNotNull(), 1).otherwise(0).cast("long").alias("n"), "s", "lo", "hi")
-    )
+
+    def pairs(some: DataFrame) -> DataFrame:
+        p = some.distinct().where(F.col(key).isNotNull() & F.col(partner).isNotNull()).select(F.col(key).alias("k"), F.col(partner).alias("p"), w.alias("w"))
+        p = p.groupBy("k", "p").agg(F.sum("w").alias("s"), F.min("w").alias("lo"), F.max("w").alias("hi"))
+        return p.select("k", "p", F.when(F.col("lo").isNotNull(), 1).otherwise(0).cast("long").alias("n"), "s", "lo", "hi")
+
     merge = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     if hot:
-        state = Workspace(edges.sparkSession, "pairs").save(state, "pairs")
-        is_hot = F.col("k").isin(hot)
-        tree = state.where(is_hot).withColumn("chunk", F.pmod(F.xxhash64("p"), F.lit(fan_in**rounds)))
+        tree = pairs(edges.where(F.col(key).isin(hot))).withColumn("chunk", F.pmod(F.xxhash64("p"), F.lit(fan_in**rounds)))
         for _ in range(rounds):
             tree = tree.groupBy("k", "chunk").agg(*merge).withColumn("chunk", F.expr(f"chunk div {fan_in}"))
-        state = state.where(~is_hot).select("k", "n", "s", "lo", "hi").unionAll(tree.select("k", "n", "s", "lo", "hi"))
+        state = pairs(edges.where(~F.col(key).isin(hot))).drop("p").unionAll(tree.drop("chunk"))
+    else:
+        state = pairs(edges)
     return state.groupBy("k").agg(*merge).select(F.col("k").alias(key), F.col("n").alias("n_partners"), F.col("s").alias("sum_weight"), F.col("lo").alias("min_weight"), F.col("hi").alias("max_weight"))
 
 
