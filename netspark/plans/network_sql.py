@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from netspark.plans.network import EMB, SEEDS, STEPS
 
 _GRID = """q AS (SELECT l_suppkey AS gene, strftime(l_shipdate, '%Y-%m') AS sample, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
@@ -87,14 +89,36 @@ def _motif(graph: str, weighted: bool) -> str:
 """
 
 
-def _third(k: int) -> str:
-    return f"(SELECT event_type AS algorithm, round(avg(value), 4) AS seconds FROM events WHERE user_id % 3 = {k} GROUP BY 1)"
+def _part(k: int, hours: int) -> str:
+    return f"(SELECT event_type AS algorithm, round(avg(value), 4) AS seconds FROM events WHERE coalesce(hour(ts) // {hours}, 0) = {k} GROUP BY 1)"
 
 
-_SPEED = f"""WITH j AS (SELECT coalesce(a.algorithm, b.algorithm) AS algorithm, a.seconds AS single_time_s, b.seconds AS parallel_time_s FROM {_third(0)} a FULL JOIN {_third(1)} b ON a.algorithm = b.algorithm),
+_SPEED = f"""WITH j AS (SELECT coalesce(a.algorithm, b.algorithm) AS algorithm, a.seconds AS single_time_s, b.seconds AS parallel_time_s FROM {_part(0, 12)} a FULL JOIN {_part(1, 12)} b ON a.algorithm = b.algorithm),
  k AS (SELECT *, round_even(single_time_s / nullif(parallel_time_s, 0), 3) AS speedup_x FROM j),
  rep AS (SELECT *, round_even(speedup_x / 8 * 100, 1) AS efficiency_pct FROM k)
 """
+_THREE = f"""WITH j AS (SELECT coalesce(g.algorithm, a.algorithm, b.algorithm) AS algorithm, g.seconds AS gpu_time_s, a.seconds AS single_time_s, b.seconds AS parallel_time_s FROM {_part(2, 8)} g FULL JOIN {_part(0, 8)} a ON a.algorithm = g.algorithm FULL JOIN {_part(1, 8)} b ON b.algorithm = coalesce(g.algorithm, a.algorithm)),
+ t AS (SELECT *, round_even(single_time_s / nullif(gpu_time_s, 0), 2) AS gpu_vs_single, round_even(parallel_time_s / nullif(gpu_time_s, 0), 2) AS gpu_vs_parallel FROM j)
+"""
+
+
+def _gcn(inner: int = 64, hidden: int = 64, out: int = 32) -> str:
+    """Two layers over rows (idx, j, v); the seeded weights come in as VALUES."""
+    rng = np.random.default_rng(42)
+    rng.standard_normal((1, 16))  # the random row of the default features is drawn first
+    w1 = rng.standard_normal((inner, hidden)) * np.sqrt(2.0 / (inner + hidden))
+    w2 = rng.standard_normal((hidden, out)) * np.sqrt(2.0 / (hidden + out))
+    values = lambda w: ", ".join(f"({i},{j},{float(x)!r}::DOUBLE)" for (i, j), x in np.ndenumerate(w))
+    moved = lambda h: f"SELECT a.dst AS idx, h.j, sum(a.weight * h.v) AS v FROM adj a JOIN {h} h ON h.idx = a.src GROUP BY 1, 2"
+    times = lambda h, w: f"SELECT h.idx, w.k AS j, sum(h.v * w.x) AS v FROM {h} h JOIN {w} w ON w.j = h.j GROUP BY 1, 2"
+    return f"""WITH {_EMBG}, {_ADJ}, w1(j, k, x) AS (VALUES {values(w1)}), w2(j, k, x) AS (VALUES {values(w2)}),
+ h0 AS MATERIALIZED (SELECT vec_id AS idx, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+ m1 AS MATERIALIZED ({moved("h0")}), p1 AS MATERIALIZED ({times("m1", "w1")}), h1 AS (SELECT idx, j, greatest(v, 0) AS v FROM p1),
+ m2 AS MATERIALIZED ({moved("h1")}), h2 AS MATERIALIZED ({times("m2", "w2")}),
+ u AS (SELECT idx, j, v / CASE WHEN sqrt(sum(v * v) OVER (PARTITION BY idx)) = 0 THEN 1 ELSE sqrt(sum(v * v) OVER (PARTITION BY idx)) END AS v FROM h2)
+ SELECT idx, {", ".join(f"round(max(CASE WHEN j = {i} THEN v END), 6) + 0.0 AS dim_{i}" for i in range(out))} FROM u GROUP BY idx"""
+
+
 _ADJ = """a0 AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM s UNION ALL SELECT idx, idx, 1.0 FROM v) GROUP BY 1, 2),
  dr AS (SELECT src, sum(weight) AS d FROM a0 GROUP BY src),
  adj AS MATERIALIZED (SELECT a0.src, a0.dst, a0.weight * (1 / sqrt(x.d)) * (1 / sqrt(y.d)) AS weight FROM a0 JOIN dr x ON x.src = a0.src JOIN dr y ON y.src = a0.dst)"""
@@ -152,7 +176,18 @@ SQL = {
     "gcn_norm_adj": f"WITH {_G}, {_ADJ} SELECT src, dst, round(weight, 8) AS weight FROM adj",
     "gcn_propagate": f"WITH {_G}, {_ADJ} SELECT dst AS idx, round(sum(weight * sin(src)), 8) + 0.0 AS y FROM adj GROUP BY dst",
     "timing_speedup": _SPEED + "SELECT * FROM rep",
-    "three_way": f"""WITH j AS (SELECT coalesce(g.algorithm, a.algorithm, b.algorithm) AS algorithm, g.seconds AS gpu_time_s, a.seconds AS single_time_s, b.seconds AS parallel_time_s FROM {_third(2)} g FULL JOIN {_third(0)} a ON a.algorithm = g.algorithm FULL JOIN {_third(1)} b ON b.algorithm = coalesce(g.algorithm, a.algorithm))
- SELECT *, round_even(single_time_s / nullif(gpu_time_s, 0), 2) AS gpu_vs_single, round_even(parallel_time_s / nullif(gpu_time_s, 0), 2) AS gpu_vs_parallel FROM j""",
+    "three_way": _THREE + "SELECT * FROM t",
+    "timing_own": f"SELECT algorithm, seconds AS parallel_time_s FROM {_part(0, 24)}",
+    "timing_text": _THREE + "SELECT algorithm, " + ", ".join(f"coalesce(printf('%.4f', {c}), 'N/A') AS {c}" for c in ("gpu_time_s", "single_time_s", "parallel_time_s")) + ", " + ", ".join(f"coalesce(printf('%.2fx', {c}), 'N/A') AS {c}" for c in ("gpu_vs_single", "gpu_vs_parallel")) + " FROM t",
+    "inspect": "SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE lineitem))::INTEGER AS columns FROM lineitem",
+    "graph_sink": f"WITH {_G} SELECT src, dst, round(weight, 6) AS weight FROM s",
+    "scores_sink": f"WITH {_G}, {_DEG} SELECT coalesce(g.gene_id, d.idx::VARCHAR) AS gene_id, round(weighted_degree, 6) AS score FROM d LEFT JOIN (SELECT DISTINCT gene_idx, gene_id FROM genes_filtered) g ON g.gene_idx = d.idx",
+    "partition_sink": "SELECT DISTINCT gene_id, (gene_idx % 5)::INTEGER AS community FROM genes_filtered",
+    "modularity_stored": f"""WITH {_G}, c AS (SELECT gene, community FROM (SELECT upper(trim(gene_id, ' ' || chr(9) || chr(10) || chr(13))) AS gene, community, row_number() OVER (PARTITION BY upper(trim(gene_id, ' ' || chr(9) || chr(10) || chr(13))) ORDER BY computed_at DESC, loaded_at DESC, community DESC NULLS LAST) AS rn FROM louvain_communities WHERE gene_id IS NOT NULL) WHERE rn = 1),
+ m AS (SELECT gene_idx AS idx, max(community) AS c FROM genes_filtered JOIN c ON c.gene = upper(trim(gene_id)) GROUP BY 1),
+ q AS MATERIALIZED (SELECT v.idx, coalesce(m.c, -1 - v.idx) AS c FROM v LEFT JOIN m ON m.idx = v.idx),
+ k AS (SELECT a.c, sum(weight) AS k, sum(CASE WHEN a.c = b.c THEN weight ELSE 0 END) AS i FROM s JOIN q a ON a.idx = src JOIN q b ON b.idx = dst GROUP BY 1)
+ SELECT (SELECT count(DISTINCT c) FROM q) AS communities, round(sum(i) / sum(k) - sum(k * k) / (sum(k) * sum(k)), 6) + 0.0 AS modularity FROM k""",
+    "gcn_embed": _gcn(),
     "timing_totals": _SPEED + "SELECT round(sum(CASE WHEN parallel_time_s IS NOT NULL THEN single_time_s END), 4) AS total_single, round(sum(CASE WHEN single_time_s IS NOT NULL THEN parallel_time_s END), 4) AS total_parallel, round(avg(speedup_x), 4) AS mean_speedup, round(avg(efficiency_pct), 4) AS mean_efficiency, round(sum(CASE WHEN parallel_time_s IS NOT NULL THEN single_time_s END) / sum(CASE WHEN single_time_s IS NOT NULL THEN parallel_time_s END), 4) AS overall_speedup FROM rep",
 }

@@ -57,6 +57,10 @@ class Workspace:
         self._tables[name] = table
         return self.spark.table(table)
 
+    def own(self, name: str, table: str) -> None:
+        """Let ``drop`` also remove the catalogue's entry of a table that was saved at ``name``."""
+        self._tables[name] = table
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads; without names, the whole folder."""
         jvm = self.spark._jvm

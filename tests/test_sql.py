@@ -13,7 +13,7 @@ def test_same_as_sql(spark, sf, name):
 
 
 def test_every_query_has_sql_or_is_listed():
-    assert set(QUERIES) - set(SQL) == {"louvain", "louvain_quality", "gcn_embed", "p5_diff"}
+    assert set(QUERIES) - set(SQL) == {"louvain", "louvain_quality", "pagerank", "rwr", "hits", "bfs_random"}
 
 
 def test_diff_with_values_has_the_found_cases(spark, sf):
