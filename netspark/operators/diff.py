@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from netspark.functions.clean import is_float, nan_to_null
 
 
+PARTITION_ROWS = 1 << 20
+
+
 def _merge(fields: list[tuple[str, float | None]]):
     """The merge over one sorted stream of (k, side, f0...); left rows are side 0."""
     names = [n for n, _ in fields]
@@ -82,7 +85,7 @@ def _merge(fields: list[tuple[str, float | None]]):
     return run
 
 
-def diff_tables(left: DataFrame, right: DataFrame, key: str, fields: Mapping[str, float | None], *, partitions: int | None = None) -> DataFrame:
+def diff_tables(left: DataFrame, right: DataFrame, key: str, fields: Mapping[str, float | None], *, partitions: int | None = None, rows: int = 0) -> DataFrame:
     """Keys on one side only, and fields that differ, of two tables with one row a key.
 
     ``fields`` maps each compared column (in both tables, of types that cast to
@@ -94,7 +97,8 @@ def diff_tables(left: DataFrame, right: DataFrame, key: str, fields: Mapping[str
     compared as strings; rows with a NULL key are left out, as they name nothing.
     Should a key be repeated on a side, its greatest row of field values is taken
     (combined before the shuffle, so a hot key costs nothing). Two empty tables
-    give an empty result; columns that are not compared are not read.
+    give an empty result; columns that are not compared are not read. ``rows`` is an
+    upper bound of the rows of both, from which the number of partitions grows.
     """
     spec: list[tuple[str, float | None]] = list(fields.items())
     types = {n: (left.schema[n].dataType, right.schema[n].dataType) for n, _ in spec}
@@ -114,7 +118,7 @@ def diff_tables(left: DataFrame, right: DataFrame, key: str, fields: Mapping[str
         return one.select("k", F.lit(mark).alias("side"), "r.*")
 
     both = side(left, 0).unionAll(side(right, 1))
-    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
     merged = (
         both.repartitionByRange(n, "k")
         .sortWithinPartitions("k", "side")

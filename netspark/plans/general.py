@@ -41,8 +41,9 @@ def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both comparisons with the two values of every differing field."""
     dist = [f"dist_from_{s}" for s in BFS_SOURCES]
     par = standing_rows(table(spark, sf_dir, "par_bfs_distances"), tidy_key("gene_id"), dist, name="gene_id")
-    bfs = diff_tables(_bfs_wide(spark, sf_dir), par, "gene_id", dict.fromkeys(dist))
-    rank = diff_tables(_scores(spark, sf_dir, "pagerank_scores"), _scores(spark, sf_dir, "gpu_pagerank_scores"), "gene_id", {"pagerank": 1e-6})
+    size = lambda *names: sum(table(spark, sf_dir, n).count() for n in names)  # noqa: E731  from the footers
+    bfs = diff_tables(_bfs_wide(spark, sf_dir), par, "gene_id", dict.fromkeys(dist), rows=size("bfs_distances", "par_bfs_distances"))
+    rank = diff_tables(_scores(spark, sf_dir, "pagerank_scores"), _scores(spark, sf_dir, "gpu_pagerank_scores"), "gene_id", {"pagerank": 1e-6}, rows=size("pagerank_scores", "gpu_pagerank_scores"))
     return bfs.select(F.lit("bfs").alias("comparison"), "*").unionAll(rank.select(F.lit("pagerank").alias("comparison"), "*"))
 
 

@@ -325,3 +325,78 @@ def test_random_graph_against_numpy(spark):
     t = np.diag(a @ a @ a) / 2
     got = values(motif.motifs(g), "idx", "triangles")
     assert [got[k] for k in range(n)] == [int(v + 1e-12) for v in t]
+
+
+@pytest.fixture
+def no_small_tables(monkeypatch):
+    """Every vector counts as large: edges in buckets, hot vertices apart."""
+    for m in (graph, traverse, linalg):
+        monkeypatch.setattr(m, "SMALL_BYTES", 0)
+
+
+def test_large_vectors_give_the_same(spark, no_small_tables):
+    test_random_graph_against_numpy(spark)
+    test_rwr(spark)
+    test_louvain_and_modularity(spark)
+    test_bfs_isolated_and_direction(spark)
+    test_mcl_two_clusters(spark)
+
+
+def test_no_step_moves_the_edges(spark, monkeypatch):
+    from netspark.workspace import Workspace
+
+    n = 2000
+    e = spark.range(20_000).selectExpr("int(pmod(id * 7919, 2000)) src", "int(pmod(id * 104729 + 13, 2000)) dst", "1.0D weight").where("src <> dst")
+    g = graph.Graph(spark.range(n).selectExpr("int(id) idx"), e, symmetric=False)
+    x = spark.range(n).selectExpr("int(id) idx", "1.0D v")
+    small = graph.Spread(Workspace(spark, "plan"), "a", e, g.hot)
+    plan = small.meet(x)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(graph, "SMALL_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = graph.Spread(Workspace(spark, "plan"), "b", e, [0, 1])
+        plan = large.meet(x)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning") == 1  # the vector's; the edges lie in buckets
+    assert "SelectedBucketsCount" in plan or "Bucketed: true" in plan
+    assert large.meet(x).count() == e.count()
+
+
+def test_by_tolerance_against_numpy(spark):
+    n, rng = 40, np.random.default_rng(3)
+    a = np.triu((rng.random((n, n)) < 0.15) * rng.uniform(0.5, 1.0, (n, n)), 1)
+    i, j = np.nonzero(a)
+    a = a + a.T
+    g = make(spark, [(int(x), int(y), a[x, y]) for x, y in zip(i, j)], n)
+    p = a / np.where(a.sum(1) == 0, 1, a.sum(1))[:, None]
+    x = np.full(n, 1 / n)
+    for _ in range(200):
+        x = 0.85 * (p.T @ x) + 0.15 / n + 0.85 * x[a.sum(1) == 0].sum() / n
+    got = values(rank.pagerank(g), "idx", "x")
+    assert [got[k] for k in range(n)] == pytest.approx(list(x), abs=1e-5)
+    y = p0 = np.eye(n)[0]
+    for _ in range(200):
+        y = 0.85 * (p.T @ y) + 0.15 * p0
+    got = values(rank.rwr(g, [0]), "idx", "x")
+    assert [got[k] for k in range(n)] == pytest.approx(list(y), abs=1e-5)
+    w, v = np.linalg.eigh(a @ a.T)
+    got = values(rank.hits(g, tol=1e-4), "idx", "hub")
+    assert [got[k] for k in range(n)] == pytest.approx(list(np.abs(v[:, -1])), abs=0.02)
+
+
+def test_source_vertices_of_a_sparse_axis(spark):
+    v = spark.createDataFrame([(7 * k + 3,) for k in range(500)], "idx int")
+    assert traverse.source_vertices(v) == [7 * k + 3 for k in traverse.random_sources(500)]
+    assert traverse.source_vertices(v.limit(0)) == []
+
+
+def test_hot_keys_by_rows_and_bounded(spark, monkeypatch):
+    from netspark.operators import lookup
+
+    c = spark.createDataFrame([(k, 10 * k) for k in range(1, 101)], "k int, n long")
+    monkeypatch.setattr(lookup, "HOT_ROWS", 800)
+    assert sorted(lookup.hot_keys(c, "k", "n", 50_500, 0.9)) == list(range(80, 101))
+    monkeypatch.setattr(lookup, "MAX_HOT", 51)
+    assert len(lookup.hot_keys(c, "k", "n", 50_500, 0.9)) <= 51
