@@ -34,13 +34,6 @@ def conditional_entropy(long: DataFrame, regulators: DataFrame, n_bins: int = 10
     return cells.groupBy("regulator", "target").agg(F.sum(part).alias("h"))
 
 
-def mce(long: DataFrame, regulators: DataFrame, n_bins: int = 10) -> DataFrame:
-    """(gene, mce_score): the mean over all other genes; lower is a stronger regulator."""
-    genes = long.select("gene").distinct().count()
-    h = conditional_entropy(long, regulators, n_bins).groupBy(F.col("regulator").alias("gene")).agg(F.sum("h").alias("s"))
-    return h.select("gene", (F.col("s") / (genes - 1)).alias("mce_score"))
-
-
 def _entropies(x: np.ndarray, y: np.ndarray, n_bins: int) -> np.ndarray:
     """H(target | x) of every row of ``y``; NaN is a missing sample, also as a result where none is common."""
     own = np.flatnonzero(~np.isnan(x))
@@ -109,7 +102,12 @@ def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bi
     return h.groupBy("gene").agg(F.sum("s").alias("s")) if sums else h
 
 
+def mce(long: DataFrame, regulators: DataFrame | None = None, n_bins: int = 10) -> DataFrame:
+    """(gene, mce_score): the mean over all other genes; lower is a stronger regulator. Without ``regulators`` every gene is one."""
+    genes = long.select("gene").distinct().count()
+    return entropy_by_blocks(long, regulators, n_bins, sums=True).select("gene", (F.col("s") / (genes - 1)).alias("mce_score"))
+
+
 def mce_all(long: DataFrame, n_bins: int = 10) -> DataFrame:
     """(gene, mce_score) with every gene as a regulator."""
-    genes = long.select("gene").distinct().count()
-    return entropy_by_blocks(long, None, n_bins, sums=True).select("gene", (F.col("s") / (genes - 1)).alias("mce_score"))
+    return mce(long, None, n_bins)

@@ -32,9 +32,10 @@ def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int
     One frontier for all sources: a level is one join with the edges and one
     anti-join with the levels before, of which the last two suffice in a symmetric
     graph. A frontier that was counted as small is broadcast; a larger one is shuffled
-    to the edges, which stay where they are (``Spread``). ``direction`` 'in' follows
-    edges backwards. Sources that are no vertices reach nothing and have no row of
-    distance 0. Levels end when the frontier is empty.
+    to the edges, which stay where they are (``Spread``). Levels are directories
+    ``dist=<level>``, so that all their plans are alike and compiled once. ``direction``
+    'in' follows edges backwards. Sources that are no vertices reach nothing and have
+    no row of distance 0. Levels end when the frontier is empty.
     """
     spark = g.edges.sparkSession
     ws = Workspace(spark, "bfs")
@@ -43,25 +44,24 @@ def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int
     ends = g.edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     step = Spread(ws, "ends", ends, Graph(g.vertices, ends, _n=g.n).hot_within(64 * len(set(sources))))
     key = ["source", "idx"]
+    fits = lambda rows: rows * 64 <= SMALL_BYTES
     start = spark.createDataFrame([(int(s),) for s in dict.fromkeys(sources)], "source long").select(F.col("source").cast(kind).alias("source"), F.col("source").cast(kind).alias("idx"))
-    saved = [ws.save(start.join(g.vertices, "idx", "left_semi").select("source", "idx", F.lit(0).alias("dist")), "part0000")]
+    saved = [ws.save(start.join(g.vertices, "idx", "left_semi").select(*key), "levels/dist=0")]
     sizes = [saved[0].count()]
-    level = 0
-    while sizes[-1] and (max_levels is None or level < max_levels):
-        level += 1
+    while sizes[-1] and (max_levels is None or len(saved) <= max_levels):
         last = slice(-2, None) if g.symmetric else slice(None)
-        known = reduce(DataFrame.unionAll, saved[last]).select(*key)
-        if sum(sizes[last]) * 64 <= SMALL_BYTES:
+        known = reduce(DataFrame.unionAll, saved[last])
+        if fits(sum(sizes[last])):
             known = F.broadcast(known)
-        near = step.meet(saved[-1].select(*key), small=sizes[-1] * 64 <= SMALL_BYTES)
+        near = step.meet(saved[-1], small=fits(sizes[-1])).select("source", F.col("dst").alias("idx"))
         o = Observation()
-        found = near.select("source", F.col("dst").alias("idx")).join(known, key, "left_anti").distinct().select(*key, F.lit(level).alias("dist")).observe(o, F.count(F.lit(1)).alias("n"))
-        saved.append(ws.save(found, f"part{level:04d}"))
+        found = near.join(known, key, "left_anti").distinct().observe(o, F.count(F.lit(1)).alias("n"))
+        saved.append(ws.save(found, f"levels/dist={len(saved)}"))
         sizes.append(o.get["n"])
-    seen = spark.read.schema(saved[0].schema).parquet(f"{ws.path}/part*")
+    seen = spark.read.schema(f"source {kind.simpleString()}, idx {kind.simpleString()}, dist int").parquet(ws.at("levels"))
     listed = F.array(*[F.lit(int(s)).cast(kind) for s in dict.fromkeys(sources)])
     grid = g.vertices.select("idx", F.explode(listed).alias("source"))  # the result's own size
-    return grid.join(seen, ["source", "idx"], "left").select("source", "idx", F.coalesce("dist", F.lit(-1)).alias("dist"))
+    return grid.join(seen, key, "left").select("source", "idx", F.coalesce("dist", F.lit(-1)).alias("dist"))
 
 
 def bfs_wide(dist: DataFrame, sources: list[int]) -> DataFrame:

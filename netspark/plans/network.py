@@ -255,7 +255,7 @@ def _entropy_input(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def cond_entropy_pairs(spark, d):
-    return entropy.conditional_entropy(*_entropy_input(spark, d)).select("regulator", "target", _r("h"))
+    return entropy.entropy_by_blocks(*_entropy_input(spark, d)).select("regulator", "target", _r("h"))
 
 
 def mce(spark, d):
