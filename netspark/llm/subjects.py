@@ -198,13 +198,15 @@ def _term_counts(docs: DataFrame, tree: Tree, terms: int, leaves: int) -> np.nda
         for b in batches:
             if len(b):
                 leaf = tree.leaves(_matrix(b["v"]))
-                cells = [np.unique(at).astype("i8") * leaves + f for at, f in zip(b["at"], leaf) if f >= 0]
-                cell, n = np.unique(np.concatenate(cells or [np.zeros(0, "i8")]), return_counts=True)
-                yield pd.DataFrame({"cell": cell, "n": n.astype("i8")})
+                cells = [np.unique(at) * leaves + f for at, f in zip(b["at"], leaf) if f >= 0]
+                cell, n = np.unique(np.concatenate(cells or [np.zeros(0, "i4")]), return_counts=True)
+                yield pd.DataFrame({"cell": cell.astype("i4"), "n": n.astype("i8")})
 
-    got = docs.select("at", "v").mapInPandas(part, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    if terms * leaves >= 1 << 31:
+        raise ValueError("more than 2^31 counts of terms by leaf")
+    got = docs.select("at", "v").mapInPandas(part, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toPandas()
     out = np.zeros(terms * leaves)
-    out[got["cell"].to_numpy("i8")] = got["n"].to_numpy("f8")
+    out[got["cell"].to_numpy()] = got["n"].to_numpy("f8")
     return out.reshape(terms, leaves)
 
 
