@@ -2,7 +2,8 @@
 
 A shard of the items is packed by one task. The level array counts the partly
 filled containers (windows) at every fill level; each item goes where the sum of
-the squared counts afterwards is least. What is still open at the end of a shard
+the squared counts afterwards is least. A shard takes its items by falling size,
+which fills small containers better than the order of arrival. What is still open at the end of a shard
 is closed by merging windows that fit into one another, again by fill level.
 Shards hold enough containers that the open rest of one is small against them,
 and their number grows with the data.

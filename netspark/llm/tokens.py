@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,15 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", *, ranks:
 
     Rows whose text is NULL or empty are left out; repeated rows stay repeated.
     Texts are encoded whole, however long. Only ``keep`` and ``text`` are read,
-    and a column of ``docs`` that is called ``n_tokens`` is not.
+    and a column of ``docs`` that is called ``n_tokens`` is not. The vocabulary at
+    ``ranks`` needs to be on the driver only: it is shipped to the executors.
     """
+    docs.sparkSession.sparkContext.addFile(ranks)
+    name = os.path.basename(ranks)
     cols = [F.col(c) for c in keep]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(ranks)
+        enc = encoding(SparkFiles.get(name))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.pop("__text")]
             b["n_tokens"] = n
