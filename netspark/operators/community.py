@@ -73,6 +73,8 @@ def louvain(g: Graph, *, tol: float = 1e-6, seed: int = 0, max_passes: int = 100
             nxt = nxt.select("idx", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("go"), F.coalesce("stay.w", F.lit(0.0)).alias("within"), (F.col("k") * F.col("tot")).alias("square"))
             state, seen = loop.save(nxt, moved=F.count_if("go"), within=F.sum("within"), square=F.sum("square"))
             state = state.select("idx", "k", "c")
+            if hot is not None:
+                ws.drop(f"tot{level}-{len(moved)}")
             moved.append(seen["moved"])
             scores.append(seen["within"] / m2 - seen["square"] / m2 / m2)
             rise = scores[-1] - scores[-2] if len(scores) > 1 else 1.0
