@@ -58,19 +58,20 @@ def louvain(g: Graph, *, tol: float = 1e-6, seed: int = 0, max_passes: int = 100
             hot = None if now.hot is None else hot_keys(tot := ws.save(tot, f"tot{level}-{len(moved)}"), "c", "size", now.n)
             tot = tot.select("c", "tot")
             link = inner.meet(state.select("idx", "c")).groupBy(F.col("dst").alias("v"), "c").agg(F.sum("weight").alias("w"))
-            own = state.select(F.col("idx").alias("v"), "k", F.col("c").alias("home"))
-            x = lookup_join(lookup_join(link, own, "v", now.hot), tot, "c", hot)
+            base = state.select(F.col("idx").alias("v"), "k", F.col("c").alias("home"))
+            own = lookup_join(base, tot.select(F.col("c").alias("home"), F.col("tot").alias("around")), "home", hot)
+            x = lookup_join(lookup_join(link, base, "v", now.hot), tot, "c", hot)
             at_home = F.col("c") == F.col("home")
             gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0)) / m2
-            best = x.withColumn("gain", gain).groupBy("v").agg(F.max(F.struct(F.round("gain", 10).alias("gain"), (-F.col("c")).alias("nc"))).alias("b"), F.max(F.when(at_home, F.struct("gain", "w"))).alias("stay"))
-            best = best.select(F.col("v").alias("idx"), (-F.col("b.nc")).alias("to"), F.col("b.gain").alias("gain"), "stay")
-            nxt = lookup_join(state.join(F.broadcast(best) if now.hot is None else best, "idx", "left"), tot, "c", hot)
-            alone = -F.col("k") * (F.col("tot") - F.col("k")) / m2
+            offers = x.withColumn("gain", gain).select("v", F.struct(F.round("gain", 10).alias("gain"), (-F.col("c")).alias("nc")).alias("best"), F.when(at_home, F.struct("gain", "w")).alias("stay"))
+            # one aggregate over the offers and the vertices themselves: some have no offers
+            offers = offers.unionByName(own, allowMissingColumns=True).groupBy(F.col("v").alias("idx")).agg(*[F.max(c).alias(c) for c in ("best", "stay", "k", "home", "around")])
+            alone = -F.col("k") * (F.col("around") - F.col("k")) / m2
             of = 1 if moved and moved[-1] == 0 else parts
             turn = F.pmod(F.xxhash64("idx", F.lit(seed * 1_000_000 + passes)), F.lit(of)) == 0
-            go = turn & F.col("to").isNotNull() & (F.col("gain") > F.coalesce("stay.gain", alone) + 1e-9)
+            go = turn & F.col("best").isNotNull() & (F.col("best.gain") > F.coalesce("stay.gain", alone) + 1e-9)
             # two sums give the modularity before the pass: weight within communities, and k * tot over the vertices
-            nxt = nxt.select("idx", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("go"), F.coalesce("stay.w", F.lit(0.0)).alias("within"), (F.col("k") * F.col("tot")).alias("square"))
+            nxt = offers.select("idx", "k", F.when(go, -F.col("best.nc")).otherwise(F.col("home")).alias("c"), go.alias("go"), F.coalesce("stay.w", F.lit(0.0)).alias("within"), (F.col("k") * F.col("around")).alias("square"))
             state, seen = loop.save(nxt, moved=F.count_if("go"), within=F.sum("within"), square=F.sum("square"))
             state = state.select("idx", "k", "c")
             if hot is not None:

@@ -29,9 +29,8 @@ def source_vertices(vertices: DataFrame, k: int = 10, seed: int = 42) -> list[in
 def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int | None = None) -> DataFrame:
     """(source, idx, dist) for every source and vertex; -1 is unreachable. Weights do not matter.
 
-    One frontier for all sources: a level is one join with the edges and one
-    anti-join with the levels before, of which the last two suffice in a symmetric
-    graph. A frontier that was counted as small is broadcast; a larger one is shuffled
+    One frontier for all sources: a level is one join with the edges and one aggregate
+    with the levels before, of which the last two suffice in a symmetric graph. A frontier that was counted as small is broadcast; a larger one is shuffled
     to the edges, which stay where they are (``Spread``). Levels are directories
     ``dist=<level>``, so that all their plans are alike and compiled once. ``direction``
     'in' follows edges backwards. Sources that are no vertices reach nothing and have
@@ -50,12 +49,10 @@ def bfs(g: Graph, sources: list[int], *, direction: str = "out", max_levels: int
     sizes = [saved[0].count()]
     while sizes[-1] and (max_levels is None or len(saved) <= max_levels):
         last = slice(-2, None) if g.symmetric else slice(None)
-        known = reduce(DataFrame.unionAll, saved[last])
-        if fits(sum(sizes[last])):
-            known = F.broadcast(known)
-        near = step.meet(saved[-1], small=fits(sizes[-1])).select("source", F.col("dst").alias("idx"))
+        known = reduce(DataFrame.unionAll, saved[last]).select(*key, F.lit(True).alias("old"))
+        near = step.meet(saved[-1], small=fits(sizes[-1])).select("source", F.col("dst").alias("idx"), F.lit(False).alias("old"))
         o = Observation()
-        found = near.join(known, key, "left_anti").distinct().observe(o, F.count(F.lit(1)).alias("n"))
+        found = near.unionAll(known).groupBy(*key).agg(F.max("old").alias("old")).where("not old").select(*key).observe(o, F.count(F.lit(1)).alias("n"))
         saved.append(ws.save(found, f"levels/dist={len(saved)}"))
         sizes.append(o.get["n"])
     seen = spark.read.schema(f"source {kind.simpleString()}, idx {kind.simpleString()}, dist int").parquet(ws.at("levels"))
