@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 
-ENDS = ".!?…;\"”»“"  # terminal marks of sentences and statements, and closing quotation marks
+ENDS = ".!?…;\"”»“`"  # terminal marks of sentences and statements, closing quotation marks and back-ticks
 _DROP = re.compile("[\u00ad\u200b-\u200d\ufeff]+")
 _SPLIT = re.compile(r"(?<=[.!?…`])[”»“\"’)]?\s+")
 _SHORT = re.compile(r"(?:^|[\s(])[^\W\d_]{1,3}\.$")  # an abbreviation, if a number follows
@@ -49,7 +49,7 @@ def plain(text: str) -> str:
 def body_sentences(text: str) -> list[str]:
     """Sentences of the lines that end in a terminal punctuation mark.
 
-    That is the published rule of the C4 corpus (Raffel et al. 2020) for telling
+    That is the rule of the C4 corpus (Raffel et al. 2020), with closing back-ticks, for telling
     running text from menus, headings, notices with buttons and footers.
     """
     out: list[str] = []

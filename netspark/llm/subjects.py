@@ -237,7 +237,7 @@ def leaf_mixtures(votes: np.ndarray, labels: np.ndarray, size: np.ndarray, trust
     return mix
 
 
-def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, ident: str = "doc_id", text: str = "text", *, leaves: int = 128, min_share: float = 0.25, vector_df: float = 3e-3, evidence_df: float = 1e-3, max_df: float = 0.3, own_leaf: float = 1.0, least: float = 0.45) -> DataFrame:
+def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, ident: str = "doc_id", text: str = "text", *, leaves: int = 128, min_share: float = 0.25, vector_df: float = 3e-3, evidence_df: float = 1e-3, max_df: float = 0.3, own_leaf: float = 1.0, least: float = 0.4) -> DataFrame:
     """(``ident``, ``subject``, ``share``): the subjects that hold ``min_share`` of a document's body.
 
     ``labels`` (``ident``, ``subject``, ``annotator``) is a sample of labelled
