@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netspark.functions.clean import guard0
 from netspark.operators.graph import Graph, Spread
@@ -11,6 +17,8 @@ from netspark.operators.iterate import Loop
 from netspark.operators.lookup import lookup_join
 from netspark.workspace import Workspace
 
+WHOLE_EDGES = 24 << 20  # so many edges walk in one task: 16 bytes each, 24 where the indexes are long
+
 
 def _stepped(told: DataFrame, state: DataFrame, *keep: str) -> DataFrame:
     """(idx, y, ``keep``...): what every vertex of ``state`` is told, summed, beside its state.
@@ -31,11 +39,18 @@ def pagerank(g: Graph, damping: float = 0.85, tol: float | None = 1e-6, max_iter
 
     Dangling vertices (no out-weight) spread their mass evenly. ``compat`` also
     counts vertices whose out-weight is exactly 1 as dangling. ``tol=None`` runs
-    ``max_iter`` steps. No vertices give an empty result. A step moves partial sums
-    by vertex and the state; the edges stay where they are (``Spread``).
+    ``max_iter`` steps. No vertices give an empty result. A graph of a broadcast
+    vector and at most ``WHOLE_EDGES`` edges takes all its steps in one task. In a
+    larger one a step is a job that moves partial sums by vertex and the state; the
+    edges stay where they are (``Spread``).
     """
     n = g.n
     ws = Workspace(g.edges.sparkSession, "pagerank")
+    if g.hot_within(8) is None and isinstance(g.vertices.schema["idx"].dataType, T.IntegerType | T.LongType):
+        edges = ws.save(g.edges.select("src", "dst", "weight"), "edges")
+        if edges.count() <= WHOLE_EDGES:
+            return ws.save(_pagerank_whole(g.vertices, edges, damping, tol, max_iter, compat), "x")
+        g = Graph(g.vertices, edges, g.symmetric, g._n, g._hot)
     out = ws.save(g.edges.groupBy("src").agg(F.sum("weight").alias("out")), "out")
     p = Spread(ws, "transitions", _divided(g, out), g.hot)
     no_out = F.coalesce("out", F.lit(0.0)) == 0
@@ -53,6 +68,55 @@ def pagerank(g: Graph, damping: float = 0.85, tol: float | None = 1e-6, max_iter
     return x.select("idx", "x")
 
 
+def _pagerank_whole(vertices: DataFrame, edges: DataFrame, damping: float, tol: float | None, max_iter: int, compat: bool) -> DataFrame:
+    """``pagerank`` by one task that holds the edges in chunks."""
+    kind = vertices.schema["idx"].dataType
+    rows = edges.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("weight").cast("double")).where("src is not null and dst is not null and weight is not null")
+    rows = rows.unionAll(vertices.where("idx is not null").select("idx", F.lit(None).cast(kind), F.lit(None).cast("double")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, chunks, few, held = [], [], [], 0
+        for b in batches:
+            own = b.column("dst").is_null()
+            ids.append(b.filter(own).column("src").to_numpy(zero_copy_only=False).copy())
+            e = b.filter(pc.invert(own))
+            few.append([c.to_numpy(zero_copy_only=False) for c in e.columns])
+            held += e.num_rows
+            if held >= 1 << 20:
+                chunks.append([np.concatenate(c) for c in zip(*few)])
+                few, held = [], 0
+        if few:
+            chunks.append([np.concatenate(c) for c in zip(*few)])
+        idx = np.unique(np.concatenate(ids)) if ids else np.zeros(0, "i8")
+        n = len(idx)
+        if not n:
+            return
+        out = np.zeros(n + 1)
+        for c in chunks:  # indexes become places; an end that is no vertex has place n
+            for k in (0, 1):
+                at = np.minimum(np.searchsorted(idx, c[k]), n - 1)
+                c[k] = np.where(idx[at] == c[k], at, n).astype("i4")
+            out += np.bincount(c[0], c[2], n + 1)
+        for c in chunks:
+            c[2] /= np.where(out == 0, 1.0, out)[c[0]]
+        dangling = out[:n] == 0
+        if compat:
+            dangling |= out[:n] == 1.0
+        x = np.append(np.full(n, 1.0 / n), 0.0)
+        for _ in range(max_iter):
+            new = np.full(n + 1, (1 - damping) / n + damping * x[:n][dangling].sum() / n)
+            for src, dst, p in chunks:
+                new += damping * np.bincount(dst, p * x[src], n + 1)
+            new[n] = 0.0
+            change, x = np.abs(new - x).sum(), new
+            if tol is not None and change < tol:
+                break
+        for a in range(0, n, 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(idx[a : a + (1 << 16)]), pa.array(x[:n][a : a + (1 << 16)])], names=["idx", "x"])
+
+    return rows.repartition(1).mapInArrow(run, T.StructType([T.StructField("idx", kind), T.StructField("x", T.DoubleType())]))
+
+
 def _divided(g: Graph, out: DataFrame) -> DataFrame:
     """The edges with weights divided by the out-weight of their source."""
     return lookup_join(g.edges, out, "src", g.hot).select("src", "dst", (F.col("weight") / guard0(F.col("out"))).alias("weight"))

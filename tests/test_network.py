@@ -402,3 +402,18 @@ def test_hot_keys_by_rows_and_bounded(spark, monkeypatch):
     assert sorted(lookup.hot_keys(c, "k", "n", 50_500, 0.9)) == list(range(80, 101))
     monkeypatch.setattr(lookup, "MAX_HOT", 51)
     assert len(lookup.hot_keys(c, "k", "n", 50_500, 0.9)) <= 51
+
+
+def test_pagerank_of_a_held_graph_is_no_job_a_step(spark, monkeypatch):
+    g = make(spark, [(k, (k * 7 + 1) % 50, 1 + k % 3) for k in range(40)] + [(0, 60, 1.0)], 55)  # 60 is no vertex, 51 to 54 are isolated
+    spark.sparkContext.setJobGroup("pagerank-held", "")
+    got = values(rank.pagerank(g, tol=None, max_iter=8), "idx", "x")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pagerank-held"))
+    spark.sparkContext.setJobGroup("pagerank-loop", "")
+    monkeypatch.setattr(rank, "WHOLE_EDGES", 0)
+    want = values(rank.pagerank(g, tol=None, max_iter=8), "idx", "x")
+    assert set(got) == set(range(55)) and got == pytest.approx(want, abs=1e-12)
+    assert jobs + 8 <= len(spark.sparkContext.statusTracker().getJobIdsForGroup("pagerank-loop"))
+    monkeypatch.undo()
+    assert values(rank.pagerank(g, tol=None, max_iter=3, compat=True), "idx", "x").keys() == got.keys()
+    assert rank.pagerank(graph.Graph(g.vertices.limit(0), g.edges.limit(0))).collect() == []
