@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from netspark.operators.lookup import SMALL_BYTES
+from netspark.workspace import Workspace
+
+BLOCK = 2048  # genes of a block at most,
+BLOCK_BYTES = 32 << 20  # and the bytes of their vectors
+TASKS = 4000
 
 
 def _bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -58,47 +69,152 @@ def _entropies(x: np.ndarray, y: np.ndarray, n_bins: int) -> np.ndarray:
     return np.where(seen, h, np.nan)
 
 
-def _matrix(samples: pd.Series, values: pd.Series, names: np.ndarray) -> np.ndarray:
-    m = np.full((len(samples), len(names)), np.nan)
-    for i, (s, v) in enumerate(zip(samples, values)):
-        m[i, np.searchsorted(names, s)] = v
+FIELD, WIDTH = 6, 63  # bits of a count in a word, and the samples that it can count
+
+
+class _Targets:
+    """H(target | x) of the same targets for many x: ``y`` (samples, targets), without a NaN.
+
+    The counts of a slice's bins lie beside each other in one word a target, so that a
+    sum over the slice's samples counts them all; two counts at a time index a table.
+    """
+
+    def __init__(self, y: np.ndarray, n_bins: int):
+        self.y, self.n_bins, n = y, n_bins, max(len(y), 2 * WIDTH)
+        self.clog = np.arange(n + 1) * np.log2(np.maximum(np.arange(n + 1), 1))
+        self.pairs = (self.clog[: WIDTH + 1, None] + self.clog[: WIDTH + 1]).ravel()
+        self.one = np.uint64(1) << (FIELD * np.arange(n_bins)).astype("u8")
+        self.v, self.at = np.empty((WIDTH, y.shape[1])), np.empty((WIDTH, y.shape[1]), "i4")
+        self.word = np.empty((WIDTH, y.shape[1]), "u8")
+
+    def _counts(self, v: np.ndarray, lo: np.ndarray, width: np.ndarray) -> np.ndarray:
+        v -= lo
+        v /= width
+        at = self.at[: len(v)]
+        np.copyto(at, v, casting="unsafe")
+        return np.add.reduce(np.take(self.one, at, out=self.word[: len(v)], mode="clip"), 0)
+
+    def given(self, x: np.ndarray) -> np.ndarray:
+        """As ``_entropies``; NaN in ``x`` is a missing sample."""
+        own = np.flatnonzero(~np.isnan(x))
+        lo, hi = x[own].min(), x[own].max() + 1e-8
+        xb = np.zeros(len(own), "i8") if hi == lo else np.minimum(np.floor((x[own] - lo) / ((hi - lo) / self.n_bins or 1.0)), self.n_bins - 1).astype("i8")
+        own = own[np.argsort(xb, kind="stable")]
+        h, end, words = np.zeros(self.y.shape[1]), 0, []
+        for nb in np.bincount(xb).tolist():
+            rows, end = own[end : end + nb], end + nb
+            if nb < 2:
+                continue
+            few = nb <= WIDTH
+            v = np.take(self.y, rows, axis=0, out=self.v[:nb] if few else None, mode="clip")
+            lo = np.minimum.reduce(v, 0)
+            width = (np.maximum.reduce(v, 0) - lo) / self.n_bins
+            width[width == 0] = 1.0
+            h += self.clog[nb]
+            if few:
+                words.append(self._counts(v, lo, width))
+                continue
+            c = np.zeros((self.n_bins, len(h)), "i8")
+            for a in range(0, nb, WIDTH):
+                word = self._counts(v[a : a + WIDTH], lo, width)
+                for k in range(self.n_bins):
+                    c[k] += (word >> np.uint64(FIELD * k) & np.uint64((1 << FIELD) - 1)).view("i8")
+            h -= self.clog[c].sum(0)
+        if words:
+            words = np.stack(words)
+            for a in range(0, FIELD * self.n_bins, 2 * FIELD):
+                two = (words >> np.uint64(a) & np.uint64((1 << 2 * FIELD) - 1)).view("i8")
+                h -= np.take(self.pairs, two).sum(0)
+        return h / len(own)
+
+
+def _matrix(at: pa.ChunkedArray, values: pa.ChunkedArray, names: np.ndarray) -> np.ndarray:
+    """(rows, names): the vectors of a block, NaN where a row lacks a sample."""
+    at, values = at.combine_chunks(), values.combine_chunks()
+    m = np.full((len(at), len(names)), np.nan)
+    row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+    m[row, np.searchsorted(names, at.flatten().to_numpy())] = values.flatten().to_numpy()
     return m
 
 
-def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bins: int = 10, *, sums: bool = False, block: int = 256) -> DataFrame:
+def _kinds(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of ``m``, and for each row which of them it is."""
+    _, first, kind = np.unique(m.view(f"V{8 * m.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return m[first], kind.ravel()
+
+
+def _block(x: np.ndarray, y: np.ndarray, n_bins: int) -> np.ndarray:
+    """(len(x), len(y)): H(y | x)."""
+    if np.isnan(y).any() or FIELD * n_bins > 60:
+        return np.stack([_entropies(row, y, n_bins) for row in x])
+    targets = _Targets(np.ascontiguousarray(y.T), n_bins)
+    return np.stack([targets.given(row) for row in x])
+
+
+def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bins: int = 10, *, sums: bool = False, block: int | None = None) -> DataFrame:
     """The rows of ``conditional_entropy`` for many regulators, without a row per pair and sample.
 
     Without ``regulators`` every gene is one. Genes are folded into vectors and these
-    into blocks by hash; each block of regulators meets each block of targets in a task
-    of its own. ``sums`` gives (gene, s), the sum over a regulator's targets, instead of
-    the pairs. A sample that a gene lacks, or has as NULL or NaN, counts for no pair of it.
+    into blocks by hash of the vector; each block of regulators meets each block of targets
+    in a task of its own, which scores copies of a vector once. ``block`` is the genes of
+    one (``BLOCK`` or what ``BLOCK_BYTES`` hold, fewer where that leaves cores idle).
+    ``sums`` gives (gene, s), the sum over a regulator's targets, instead of the pairs.
+    A sample that a gene lacks, or has as NULL or NaN, counts for no pair of it.
     """
-    kind = long.schema["gene"].dataType.simpleString()
-    vec = long.where("value is not null and not isnan(value)").groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("x"))
-    vec = vec.select("gene", F.transform("x", lambda e: e["sample"]).alias("s"), F.transform("x", lambda e: e["value"]).alias("v"))
-    blocks = max(1, -(-vec.count() // block))
-    vec = vec.withColumn("b", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
+    spark = long.sparkSession
+    ws = Workspace(spark, "entropy")
+    kind = long.schema["gene"].dataType
+    long = long.where("value is not null and not isnan(value)")
+    names = ws.save(long.select("sample").distinct().select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).alias("at")), "samples")
+    width = names.count()
+    names = F.broadcast(names) if width * 64 <= SMALL_BYTES else names
+    numbered = long.join(names, long["sample"].eqNullSafe(names["sample"])).select("gene", "at", F.col("value").cast("double").alias("value"))
+    vec = numbered.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
+    vec = ws.save(vec.select("gene", F.transform("x", lambda e: e["at"]).alias("s"), F.transform("x", lambda e: e["value"]).alias("v"), F.xxhash64("x").alias("mix")), "vectors")
+    genes = vec.count()
+    if block is None:
+        spread = math.ceil(math.sqrt(3 * spark.sparkContext.defaultParallelism))
+        block = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(width, 1)), max(128, genes // spread)))
+    blocks = max(1, -(-genes // block))
+    many = [r[0] for r in vec.groupBy("mix").count().where(F.col("count") > block).collect()]  # at most one a block
+    mix = F.when(F.col("mix").isin(many), F.xxhash64("gene")).otherwise(F.col("mix")) if many else F.col("mix")
+    vec = vec.withColumn("b", F.pmod(mix, F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     reg = vec if regulators is None else vec.join(regulators.select("gene"), "gene", "left_semi")
     # every column under a name of its own on either side: a cogroup of two views of one table mixes up shared ones
     reg = reg.select(F.col("gene").alias("regulator"), F.col("s").alias("rs"), F.col("v").alias("rv"), F.col("b").alias("i"), every.alias("j"))
     target = vec.select(F.col("gene").alias("target"), F.col("s").alias("ts"), F.col("v").alias("tv"), every.alias("ti"), F.col("b").alias("tj"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            names = np.unique(np.concatenate([*a["rs"], *b["ts"]]))
-            x, y, genes = _matrix(a["rs"], a["rv"], names), _matrix(b["ts"], b["tv"], names), b["target"].to_numpy()
-            for gene, row in zip(a["regulator"], x):
-                h = _entropies(row, y, n_bins)
-                keep = ~np.isnan(h) & (genes != gene)
-                if sums and keep.any():
-                    out.append(pd.DataFrame({"gene": [gene], "s": [h[keep].sum()]}))
-                elif keep.any():
-                    out.append(pd.DataFrame({"regulator": gene, "target": genes[keep], "h": h[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"gene": a["regulator"].iloc[:0], "s": pd.Series(dtype="f8")} if sums else {"regulator": a["regulator"].iloc[:0], "target": b["target"].iloc[:0], "h": pd.Series(dtype="f8")})
-
-    h = reg.groupBy("i", "j").cogroup(target.groupBy("ti", "tj")).applyInPandas(run, f"gene {kind}, s double" if sums else f"regulator {kind}, target {kind}, h double")
+    own = T.StructField("gene" if sums else "regulator", kind)
+    schema = T.StructType([own, T.StructField("s", T.DoubleType())] if sums else [own, T.StructField("target", kind), T.StructField("h", T.DoubleType())])
+
+    empty = to_arrow_schema(schema).empty_table()
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts = []
+        if a.num_rows and b.num_rows:
+            used = np.unique(np.concatenate([np.unique(c.combine_chunks().flatten().to_numpy()) for c in (a["rs"], b["ts"])]))
+            (x, xk), (y, yk) = _kinds(_matrix(a["rs"], a["rv"], used)), _kinds(_matrix(b["ts"], b["tv"], used))
+            h = _block(x, y, n_bins)
+            regs, targets = a["regulator"].combine_chunks(), b["target"].combine_chunks()
+            place = {g: k for k, g in enumerate(targets.to_pylist())}
+            self_ = np.array([place.get(g, -1) for g in regs.to_pylist()])
+            step = max(1, (1 << 18) // len(yk))
+            for k in range(0, len(xk), step):
+                part = h[xk[k : k + step]][:, yk]
+                r = np.flatnonzero(self_[k : k + step] >= 0)
+                part[r, self_[k : k + step][r]] = np.nan
+                keep = ~np.isnan(part)
+                if sums:
+                    some = keep.any(1)
+                    parts.append(pa.table({"gene": regs[k : k + step].filter(pa.array(some)), "s": np.nansum(part[some], 1)}))
+                else:
+                    r, c = np.nonzero(keep)
+                    parts.append(pa.table({"regulator": regs.take(pa.array(r + k)), "target": targets.take(pa.array(c)), "h": part[keep]}))
+        return pa.concat_tables(parts) if parts else empty
+
+    tasks = min(blocks * blocks, TASKS)
+    pairs = reg.repartition(tasks, "i", "j").groupBy("i", "j").cogroup(target.repartition(tasks, "ti", "tj").groupBy("ti", "tj"))
+    h = pairs.applyInArrow(run, schema)
     return h.groupBy("gene").agg(F.sum("s").alias("s")) if sums else h
 
 

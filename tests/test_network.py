@@ -417,3 +417,31 @@ def test_pagerank_of_a_held_graph_is_no_job_a_step(spark, monkeypatch):
     monkeypatch.undo()
     assert values(rank.pagerank(g, tol=None, max_iter=3, compat=True), "idx", "x").keys() == got.keys()
     assert rank.pagerank(graph.Graph(g.vertices.limit(0), g.edges.limit(0))).collect() == []
+
+
+def test_entropy_counted_in_words_is_the_plain_count():
+    rng = np.random.default_rng(5)
+    for samples in (1, 9, 84, 900):  # 900: slices of more samples than a word counts
+        y = np.round(rng.random((40, samples)) * 8) / 4
+        y[0], y[1, : samples // 2] = 1.0, 0.0
+        x = y[:6].copy()
+        x[5, ::3] = np.nan  # a regulator without some samples
+        x = x[~np.isnan(x).all(1)]
+        got = entropy._block(x, y, 10)
+        assert got == pytest.approx(np.stack([entropy._entropies(row, y, 10) for row in x]), abs=1e-12)
+
+
+def test_entropy_of_copies_is_scored_once_a_vector(spark):
+    rng = np.random.default_rng(9)
+    kinds = np.round(rng.random((3, 12)) * 4)
+    m = kinds[[0] * 9 + [1] * 4 + [2]]
+    distinct, kind = entropy._kinds(m)
+    assert len(distinct) == 3 and (distinct[kind] == m).all()
+    x = long(spark, dict(enumerate(m)))
+    every = x.select("gene").distinct()
+    want = {(r.regulator, r.target): r.h for r in entropy.conditional_entropy(x, every).collect()}
+    for block in (None, 4):  # 4: the nine copies are more than a block and lie in several
+        got = {(r.regulator, r.target): r.h for r in entropy.entropy_by_blocks(x, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    sums = values(entropy.entropy_by_blocks(x, sums=True), "gene", "s")
+    assert sums == pytest.approx({g: sum(h for (r, _), h in want.items() if r == g) for g in range(14)}, abs=1e-9)
