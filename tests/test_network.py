@@ -1,6 +1,7 @@
 """Small graphs and matrices with results that can be checked by hand or with numpy."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -445,3 +446,11 @@ def test_entropy_of_copies_is_scored_once_a_vector(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     sums = values(entropy.entropy_by_blocks(x, sums=True), "gene", "s")
     assert sums == pytest.approx({g: sum(h for (r, _), h in want.items() if r == g) for g in range(14)}, abs=1e-9)
+
+
+def test_entropy_block_moves_each_vector_a_few_times(spark):
+    x = spark.range(6000).selectExpr("int(id div 3) gene", "int(id % 3) sample", "double(pmod(id * 7919, 11)) value")
+    plan = entropy.entropy_by_blocks(x)._jdf.queryExecution().analyzed().toString()
+    rows = [int(m) + 1 for m in re.findall(r"explode\(sequence\(0, (\d+)", plan)]  # of a vector, on either side
+    assert len(rows) == 2 and max(rows) <= 4, plan  # blocks of 256 genes were 8
+    assert entropy.entropy_by_blocks(x, x.where("gene < 2").select("gene").distinct()).count() == 2 * 1999
