@@ -454,3 +454,12 @@ def test_entropy_block_moves_each_vector_a_few_times(spark):
     rows = [int(m) + 1 for m in re.findall(r"explode\(sequence\(0, (\d+)", plan)]  # of a vector, on either side
     assert len(rows) == 2 and max(rows) <= 4, plan  # blocks of 256 genes were 8
     assert entropy.entropy_by_blocks(x, x.where("gene < 2").select("gene").distinct()).count() == 2 * 1999
+
+
+def test_top_regulator_of_copies_is_the_smallest_id(spark):
+    rng = np.random.default_rng(2)
+    m = np.round(rng.random((4, 12)) * 4)[[3, 0, 1, 2, 0, 1, 2, 3] * 40]  # 320 genes, 80 of each vector
+    got = entropy.mce_all(long(spark, dict(enumerate(m)))).select("gene", F.round("mce_score", 6).alias("mce_score")).orderBy("mce_score", "gene").collect()
+    assert len(got) == 320 and len({r.mce_score for r in got}) <= 4
+    best = entropy._block(m[:4], m, 10).sum(1) - np.diag(entropy._block(m[:4], m[:4], 10))
+    assert got[0].gene == int(best.argmin()) and got[0].mce_score == pytest.approx(best.min() / 319, abs=1e-6)
