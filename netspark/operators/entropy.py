@@ -151,7 +151,14 @@ def _block(x: np.ndarray, y: np.ndarray, n_bins: int) -> np.ndarray:
     return np.stack([targets.given(row) for row in x])
 
 
-def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bins: int = 10, *, sums: bool = False, block: int | None = None) -> DataFrame:
+def _rounded(h: np.ndarray, digits: int) -> np.ndarray:
+    """Half up to ``digits`` decimals, never -0.0; NaN stays."""
+    v = h * 10.0**digits
+    low = np.floor(v)
+    return (low + (v - low >= 0.5)) / 10.0**digits + 0.0
+
+
+def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bins: int = 10, *, sums: bool = False, block: int | None = None, digits: int | None = None) -> DataFrame:
     """The rows of ``conditional_entropy`` for many regulators, without a row per pair and sample.
 
     Without ``regulators`` every gene is one. Genes are folded into vectors and these
@@ -160,6 +167,7 @@ def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bi
     one (``BLOCK`` or what ``BLOCK_BYTES`` hold, fewer where that leaves cores idle).
     ``sums`` gives (gene, s), the sum over a regulator's targets, instead of the pairs.
     A sample that a gene lacks, or has as NULL or NaN, counts for no pair of it.
+    ``digits`` rounds ``h`` in the task, once for each two vectors and not once a row.
     """
     spark = long.sparkSession
     ws = Workspace(spark, "entropy")
@@ -195,18 +203,24 @@ def entropy_by_blocks(long: DataFrame, regulators: DataFrame | None = None, n_bi
             used = np.unique(np.concatenate([np.unique(c.combine_chunks().flatten().to_numpy()) for c in (a["rs"], b["ts"])]))
             (x, xk), (y, yk) = _kinds(_matrix(a["rs"], a["rv"], used)), _kinds(_matrix(b["ts"], b["tv"], used))
             h = _block(x, y, n_bins)
+            if digits is not None and not sums:
+                h = _rounded(h, digits)
             regs, targets = a["regulator"].combine_chunks(), b["target"].combine_chunks()
             place = {g: k for k, g in enumerate(targets.to_pylist())}
             self_ = np.array([place.get(g, -1) for g in regs.to_pylist()])
             step = max(1, (1 << 18) // len(yk))
+            every = None if sums else targets.take(pa.array(np.tile(np.arange(len(yk)), min(step, len(xk)))))
             for k in range(0, len(xk), step):
-                part = h[xk[k : k + step]][:, yk]
+                part = np.take(np.take(h, xk[k : k + step], 0), yk, 1)
                 r = np.flatnonzero(self_[k : k + step] >= 0)
                 part[r, self_[k : k + step][r]] = np.nan
                 keep = ~np.isnan(part)
                 if sums:
                     some = keep.any(1)
                     parts.append(pa.table({"gene": regs[k : k + step].filter(pa.array(some)), "s": np.nansum(part[some], 1)}))
+                elif keep.all():  # as in every block that is not a gene's own
+                    r = np.repeat(np.arange(k, k + len(part)), len(yk))
+                    parts.append(pa.table({"regulator": regs.take(pa.array(r)), "target": every.slice(0, part.size), "h": part.ravel()}))
                 else:
                     r, c = np.nonzero(keep)
                     parts.append(pa.table({"regulator": regs.take(pa.array(r + k)), "target": targets.take(pa.array(c)), "h": part[keep]}))

@@ -268,7 +268,7 @@ def top_regulator(spark, d):
 
 def cond_entropy_pairs_all(spark, d):
     """Every gene as a regulator, where ``cond_entropy_pairs`` has the first 50."""
-    return entropy.entropy_by_blocks(_entropy_input(spark, d)[0]).select("regulator", "target", _r("h"))
+    return entropy.entropy_by_blocks(_entropy_input(spark, d)[0], digits=6)
 
 
 def mce_all(spark, d):

@@ -463,3 +463,19 @@ def test_top_regulator_of_copies_is_the_smallest_id(spark):
     assert len(got) == 320 and len({r.mce_score for r in got}) <= 4
     best = entropy._block(m[:4], m, 10).sum(1) - np.diag(entropy._block(m[:4], m[:4], 10))
     assert got[0].gene == int(best.argmin()) and got[0].mce_score == pytest.approx(best.min() / 319, abs=1e-6)
+
+
+def test_entropies_of_all_pairs_are_rounded_in_the_task(spark, tmp_path):
+    from netspark.plans import network
+
+    rng = np.random.default_rng(4)
+    x = long(spark, dict(enumerate(np.round(rng.random((7, 12)) * 4)[[0, 1, 2, 3, 4, 5, 6, 0, 0, 3]])))
+    want = {(r.regulator, r.target): r.h for r in entropy.conditional_entropy(x, x.select("gene").distinct()).collect()}
+    for block in (None, 3):  # 3: blocks without a gene's own rows
+        got = {(r.regulator, r.target): r.h for r in entropy.entropy_by_blocks(x, block=block, digits=6).collect()}
+        assert got.keys() == want.keys() and all(got[k] == round(got[k], 6) == pytest.approx(want[k], abs=1e-6) for k in want)
+    odd = entropy._rounded(np.array([-1e-17, 0.0, 0.5, 1.2345675, 2.0000004999, np.nan]), 6)
+    assert odd[:5].tolist() == [0.0, 0.0, 0.5, 1.234568, 2.0] and not np.signbit(odd[0]) and np.isnan(odd[5])
+    spark.range(2400).selectExpr("id % 6 l_suppkey", "timestamp'2020-01-01' + make_dt_interval(int(id % 300)) l_shipdate", "double(pmod(id * 7919, 50)) l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = network.cond_entropy_pairs_all(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "round(" not in plan, plan
