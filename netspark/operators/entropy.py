@@ -76,23 +76,34 @@ class _Targets:
     """H(target | x) of the same targets for many x: ``y`` (samples, targets), without a NaN.
 
     The counts of a slice's bins lie beside each other in one word a target, so that a
-    sum over the slice's samples counts them all; two counts at a time index a table.
+    sum over the slice's samples counts them all. The bins of three samples at a time index
+    a table of such words, and two counts at a time one of their logarithms.
     """
 
     def __init__(self, y: np.ndarray, n_bins: int):
         self.y, self.n_bins, n = y, n_bins, max(len(y), 2 * WIDTH)
         self.clog = np.arange(n + 1) * np.log2(np.maximum(np.arange(n + 1), 1))
         self.pairs = (self.clog[: WIDTH + 1, None] + self.clog[: WIDTH + 1]).ravel()
-        self.one = np.uint64(1) << (FIELD * np.arange(n_bins)).astype("u8")
-        self.v, self.at = np.empty((WIDTH, y.shape[1])), np.empty((WIDTH, y.shape[1]), "i4")
-        self.word = np.empty((WIDTH, y.shape[1]), "u8")
+        one = np.uint64(1) << (FIELD * np.minimum(np.arange(n_bins + 2), n_bins - 1)).astype("u8")
+        one[-1] = 0  # no sample; the one before it is the upper end, of the last bin
+        self.three = (one[:, None, None] + one[:, None] + one).ravel()
+        self.v, self.at = np.empty((WIDTH, y.shape[1])), np.empty((WIDTH, y.shape[1]), "u2")  # WIDTH is a multiple of 3
+        self.word, self.words = np.empty((WIDTH // 3, y.shape[1]), "u8"), np.empty((n_bins, y.shape[1]), "u8")
+        self.two, self.log = np.empty((n_bins, y.shape[1]), "u8"), np.empty((n_bins, y.shape[1]))
 
     def _counts(self, v: np.ndarray, lo: np.ndarray, width: np.ndarray) -> np.ndarray:
         v -= lo
         v /= width
-        at = self.at[: len(v)]
-        np.copyto(at, v, casting="unsafe")
-        return np.add.reduce(np.take(self.one, at, out=self.word[: len(v)], mode="clip"), 0)
+        if width.min() < 1e-300:  # so narrow that the quotient is no longer exact
+            np.minimum(v, self.n_bins - 1, out=v)
+        m = -(-len(v) // 3)
+        np.copyto(self.at[: len(v)], v, casting="unsafe")
+        self.at[len(v) : 3 * m] = self.n_bins + 1
+        a, b, c = self.at[:m], self.at[m : 2 * m], self.at[2 * m : 3 * m]
+        for x in (b, c):
+            a *= self.n_bins + 2
+            a += x
+        return np.add.reduce(np.take(self.three, a, out=self.word[:m], mode="clip"), 0)
 
     def given(self, x: np.ndarray) -> np.ndarray:
         """As ``_entropies``; NaN in ``x`` is a missing sample."""
@@ -100,7 +111,7 @@ class _Targets:
         lo, hi = x[own].min(), x[own].max() + 1e-8
         xb = np.zeros(len(own), "i8") if hi == lo else np.minimum(np.floor((x[own] - lo) / ((hi - lo) / self.n_bins or 1.0)), self.n_bins - 1).astype("i8")
         own = own[np.argsort(xb, kind="stable")]
-        h, end, words = np.zeros(self.y.shape[1]), 0, []
+        h, end, n = np.zeros(self.y.shape[1]), 0, 0
         for nb in np.bincount(xb).tolist():
             rows, end = own[end : end + nb], end + nb
             if nb < 2:
@@ -112,7 +123,8 @@ class _Targets:
             width[width == 0] = 1.0
             h += self.clog[nb]
             if few:
-                words.append(self._counts(v, lo, width))
+                self.words[n] = self._counts(v, lo, width)
+                n += 1
                 continue
             c = np.zeros((self.n_bins, len(h)), "i8")
             for a in range(0, nb, WIDTH):
@@ -120,11 +132,11 @@ class _Targets:
                 for k in range(self.n_bins):
                     c[k] += (word >> np.uint64(FIELD * k) & np.uint64((1 << FIELD) - 1)).view("i8")
             h -= self.clog[c].sum(0)
-        if words:
-            words = np.stack(words)
-            for a in range(0, FIELD * self.n_bins, 2 * FIELD):
-                two = (words >> np.uint64(a) & np.uint64((1 << 2 * FIELD) - 1)).view("i8")
-                h -= np.take(self.pairs, two).sum(0)
+        words, two = self.words[:n], self.two[:n]
+        for _ in range(0, self.n_bins, 2):
+            np.bitwise_and(words, np.uint64((1 << 2 * FIELD) - 1), out=two)
+            words >>= np.uint64(2 * FIELD)
+            h -= np.add.reduce(np.take(self.pairs, two.view("i8"), out=self.log[:n], mode="clip"), 0)
         return h / len(own)
 
 

@@ -479,3 +479,17 @@ def test_entropies_of_all_pairs_are_rounded_in_the_task(spark, tmp_path):
     spark.range(2400).selectExpr("id % 6 l_suppkey", "timestamp'2020-01-01' + make_dt_interval(int(id % 300)) l_shipdate", "double(pmod(id * 7919, 50)) l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
     plan = network.cond_entropy_pairs_all(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert "round(" not in plan, plan
+
+
+def test_entropy_counts_three_samples_a_lookup(monkeypatch):
+    rng = np.random.default_rng(6)
+    looked = []
+    monkeypatch.setattr(entropy.np, "take", lambda a, i, *r, **k: looked.append((len(a), np.shape(i))) or a.take(i, *r, **k))
+    for samples in (2, 3, 4, 5, 61, 62, 63, 64, 130):  # one slice, with and without samples left over from the threes
+        y = np.round(rng.random((30, samples)) * 40) / 8
+        y[0], y[1], y[2] = 3.0, np.arange(samples) * 5e-324, np.arange(samples) * 1e-322  # constant, and ranges too small for a quotient
+        looked.clear()
+        got = entropy._Targets(np.ascontiguousarray(y.T), 10).given(np.ones(samples))
+        assert got == pytest.approx(entropy._entropies(np.ones(samples), y, 10), abs=1e-12)
+        rows = sum(shape[0] for size, shape in looked if size == 12**3)
+        assert rows == sum(-(-min(63, samples - a) // 3) for a in range(0, samples, 63))  # one a sample before
